@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, quality, toxicity
+from . import media, quality, simhash, spherical, toxicity
 from .labelled import remainder
 
 
@@ -32,5 +32,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score_texts(docs, model), 5, 0, 0.3)
 
 
-QUERIES = {"op1_media": op1_media, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
+def op7_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}

@@ -24,11 +24,13 @@ BITS = 32
 
 @dataclass(frozen=True)
 class Settings:
-    alpha: float = 0.5
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 3.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 8.0
+    l2: float = 0.1
+    epochs: int = 15
+    #: Slots in fewer documents of the sample cannot outgrow the L1 penalty and are left out at once.
+    min_docs: int = 4
     #: Labelled rows per class that may be used; the only bound on training.
     max_rows: int = 3000
     threshold: float = 0.7
@@ -61,8 +63,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> Weights:
     if not rows or len({y for _, y in rows}) < 2:
         p = 0.5 if not rows else (0.001, 0.999)[rows[0][1]]
         return Weights(np.zeros(0, np.uint32), np.zeros(0), float(np.log(p / (1 - p))))
-    slots = np.unique(np.concatenate([x for x, _ in rows]))
-    coded = [(np.searchsorted(slots, x), y) for x, y in rows]
+    slots, docs = np.unique(np.concatenate([x for x, _ in rows]), return_counts=True)
+    slots = slots[docs >= s.min_docs]
+    coded = []
+    for x, y in rows:
+        at = np.minimum(np.searchsorted(slots, x), max(len(slots) - 1, 0))
+        coded.append((at[slots[at] == x] if len(slots) else at[:0], y))
     z, n = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)  # the last coordinate is the bias, without L1
     l1 = np.full(len(slots) + 1, s.l1)
     l1[-1] = 0.0
