@@ -128,7 +128,8 @@ def links(classes: DataFrame) -> DataFrame:
     keyed = classes.select("fp").mapInArrow(run, "k long, fp long, probe boolean")
     index = keyed.where("NOT probe").select("k", F.col("fp").alias("a"))
     probe = keyed.where("probe").select("k", F.col("fp").alias("b"))
-    return index.join(probe, "k").where("a < b AND bit_count(a ^ b) <= 3").select("a", "b").distinct()
+    # Sizes of mapped rows are not known to the planner: without the hint it broadcasts the index.
+    return index.hint("merge").join(probe, "k").where("a < b AND bit_count(a ^ b) <= 3").select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
