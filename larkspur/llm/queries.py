@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, quality, simhash, spherical, toxicity
+from . import media, packing, quality, simhash, spherical, toxicity
 from .labelled import remainder
 
 
@@ -37,9 +37,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
