@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, packing, quality, simhash, spherical, toxicity
+from . import media, packing, quality, sharding, simhash, spherical, toxicity
 from .labelled import remainder
 
 
@@ -41,9 +41,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
 def op7_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_sharding": op6_sharding, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
