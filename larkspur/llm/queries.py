@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, packing, quality, sharding, simhash, spherical, toxicity
+from . import media, packing, quality, repeats, sharding, simhash, spherical, toxicity
 from .labelled import remainder
 
 
@@ -50,5 +50,10 @@ def op7_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_sharding": op6_sharding, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return repeats.remove_repeats(docs, keep_text=False)
+
+
+QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_sharding": op6_sharding, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
