@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, packing, quality, repeats, sharding, simhash, spherical, toxicity
+from . import media, packing, pieces, quality, repeats, sharding, simhash, spherical, toxicity, warc
 from .labelled import remainder
 
 
@@ -32,6 +32,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score_texts(docs, model), 5, 0, 0.3)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sampled_pieces(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
@@ -55,5 +63,16 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs, keep_text=False)
 
 
-QUERIES = {"op1_media": op1_media, "op3_simhash": op3_simhash, "op4_packing": op4_packing, "op6_sharding": op6_sharding, "op7_spherical": op7_spherical, "op8_toxicity": op8_toxicity, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_media": op1_media,
+    "op2_warc": op2_warc,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op5_pieces": op5_pieces,
+    "op6_sharding": op6_sharding,
+    "op7_spherical": op7_spherical,
+    "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
+    "op10_quality": op10_quality,
+}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.oracle_sql()}
