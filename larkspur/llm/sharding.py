@@ -51,12 +51,16 @@ def _stars(nodes: DataFrame, shards: int) -> DataFrame:
 
 def _shares(moves: DataFrame, load: np.ndarray, share: float) -> list[float]:
     """For each shard, the part of the bytes that wish to move there which its room allows."""
-    into = np.zeros(len(load))
-    for r in moves.groupBy("wish").agg(F.sum("size").alias("b")).collect():  # at most one row a shard
-        into[r["wish"]] = r["b"]
+    into, square = np.zeros(len(load)), np.zeros(len(load))
+    for r in moves.groupBy("wish").agg(F.sum("size").alias("b"), F.sum(F.col("size").cast("double") * F.col("size")).alias("q")).collect():  # at most one row a shard
+        into[r["wish"]], square[r["wish"]] = r["b"], r["q"]
     room = np.maximum(share - load, 0)
-    # where not all fit, a little less than the room, since rows are let through by chance
-    return [0.0 if not want else 1.0 if want <= have else float(0.98 * have / want) for want, have in zip(into, room, strict=True)]
+    out = []
+    for want, have, q in zip(into, room, square, strict=True):
+        # rows are let through by chance, so where not all fit, three standard deviations are left
+        p = min(1.0, have / want) if want else 0.0
+        out.append(p if p in (0.0, 1.0) else float(max(0.0, have - 3 * np.sqrt(p * q)) / want))
+    return out
 
 
 def _loads(members: DataFrame, shards: int) -> np.ndarray:
