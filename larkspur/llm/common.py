@@ -54,6 +54,18 @@ def bounded_batches(spark: SparkSession, n_bytes: int = 16 << 20) -> None:
         spark.conf.set(key, str(value))
 
 
+def filtered(df: DataFrame, text: str, mask) -> DataFrame:
+    """The rows of df, all columns, for which mask(text column) holds; texts are not moved."""
+    bounded_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(mask(b.column(at))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

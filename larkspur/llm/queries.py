@@ -60,7 +60,7 @@ def op7_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return repeats.remove_repeats(docs, keep_text=False)
+    return repeats.remove_repeats(docs, keep=())
 
 
 QUERIES = {

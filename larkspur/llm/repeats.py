@@ -47,7 +47,7 @@ COVERS = {
 PACKET = 4 << 20
 RANGE_BYTES = 4 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
 
 
 def moduli(width: int) -> list[tuple[int, int]]:
@@ -206,30 +206,35 @@ def advance(p: Packet, replies: dict[int, dict[int, bytes]], level: int, levels:
     return None, candidates, copied
 
 
-def _result(p: Packet, repeated: np.ndarray, copied: np.ndarray) -> Iterator[tuple[int, int, int, str, bytes]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 and kept of each text of the packet."""
+def _result(p: Packet, repeated: np.ndarray, copied: np.ndarray) -> Iterator[tuple[int, int, int, str, bytes, str]]:
+    """n_bytes, n_removed, n_spans, kept_sha256, kept and kept_text of each text of the packet.
+
+    kept_text leaves out the remains of characters that a removed span cuts through.
+    """
     whole = set(copied.tolist())
     has = np.zeros(len(p.data) + 1, np.int32)
     np.cumsum(repeated, dtype=np.int32, out=has[1:])
     for i, (a, b) in enumerate(zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True)):
         n = b - a
         if i in whole:
-            yield n, n, 1, EMPTY_SHA, b""
+            yield n, n, 1, EMPTY_SHA, b"", ""
         elif has[b] == has[a]:
             kept = p.data[a:b].tobytes()
-            yield n, 0, 0, hashlib.sha256(kept).hexdigest(), kept
+            yield n, 0, 0, hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")
         else:
             start = np.flatnonzero(repeated[a:b])
             edge = np.zeros(n + 1, np.int32)
             edge[start] += 1
             edge[start + p.width] -= 1
             gone = np.cumsum(edge[:-1]) > 0
-            kept = p.data[a:b][~gone].tobytes()
-            yield n, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept
+            turns = np.flatnonzero(np.diff(gone, prepend=True, append=True)).tolist()
+            parts = [p.data[a + i : a + j].tobytes() for i, j in zip(turns[::2], turns[1::2], strict=True)]
+            kept = b"".join(parts)
+            yield n, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept, "".join(x.decode("utf-8", "ignore") for x in parts)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep_text: bool = True, packet_bytes: int = PACKET, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The columns of df but `text`, and n_bytes, n_removed, n_spans, kept_sha256 and (keep_text) kept, as bytes."""
+def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep: tuple[str, ...] = ("kept",), packet_bytes: int = PACKET, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The columns of df but `text`, and n_bytes, n_removed, n_spans, kept_sha256 and those of `keep`: kept (bytes), kept_text."""
     spark = df.sparkSession
     bounded_batches(spark)
     rest = [f for f in df.schema if f.name != text and f.name not in RESULTS]
@@ -309,16 +314,17 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep_t
         answers.append(told)
 
     arrow = df.limit(0).select(*[F.col(f"`{f.name}`") for f in rest]).toArrow().schema if rest else pa.schema([])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + keep_text]
-    names = list(RESULTS[: 4 + keep_text])
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
+    names = [n for n in RESULTS if n in keep or n not in ("kept", "kept_text")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             p, replies = read(row)
             _, repeated, copied = advance(p, replies, 0, levels)
-            columns = list(zip(*_result(p, repeated, copied), strict=True))
+            columns = dict(zip(RESULTS, zip(*_result(p, repeated, copied), strict=True), strict=True))
             others = pa.ipc.open_stream(row["rest"]).read_next_batch().columns if row["rest"] else []
-            yield pa.RecordBatch.from_arrays([*others, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], [*arrow.names, *names])
+            yield pa.RecordBatch.from_arrays([*others, *(pa.array(columns[n], kinds[n]) for n in names)], [*arrow.names, *names])
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{n} {k}" for n, k in zip(names, ("long", "long", "long", "string", "binary"), strict=False)])
+    plain = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{n} {plain[kinds[n]]}" for n in names])
     return with_replies(["bid", "offsets", "data", "rest"]).mapInArrow(finish, fields)

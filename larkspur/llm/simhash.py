@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded_batches, cut, text_bytes
 from .components import components
@@ -146,3 +146,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         "fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(resolved, "fp").select("doc_id", "fp", "n_near", "component_id")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df that stand for their group of near-duplicates (the smallest doc_id), all columns.
+
+    Of rows that repeat that doc_id one stays; rows without a doc_id are not compared and stay.
+    """
+    groups, _ = cut(near_duplicates(df.where(F.col(key).isNotNull()), key, text).where("doc_id = component_id").select(F.col("doc_id").alias(key)), "kept")
+    kept = df.join(groups.distinct().hint("shuffle_hash"), key, "left_semi")
+    counts = groups.agg(F.count("*").alias("n"), F.countDistinct(key).alias("d")).first()
+    if counts["n"] != counts["d"]:  # only then are texts sorted
+        order = Window.partitionBy(key).orderBy(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+        kept = kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

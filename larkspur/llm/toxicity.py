@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, spans, text_buffer
+from .common import bounded_batches, filtered, spans, text_buffer
 from .labelled import training_sample
 from .textfeat import grams, words
 
@@ -143,3 +143,9 @@ def score_texts(df: DataFrame, w: Weights, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_batch(b.column(1), shared.value))], ["doc_id", "score"])
 
     return df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(df: DataFrame, w: Weights, threshold: float = Settings.threshold, text: str = "text") -> DataFrame:
+    """The rows of df that score below the threshold, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(w)
+    return filtered(df, text, lambda column: score_batch(column, shared.value) < threshold)
