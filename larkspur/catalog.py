@@ -1,4 +1,11 @@
-"""The registry of the engine's own queries."""
+"""The registry of the engine's own queries, and what DuckDB says to them."""
+
+from __future__ import annotations
+
+from larkspur.plans import code, retrieval
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (retrieval, code):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
