@@ -275,7 +275,8 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep:
         every = answers[0]
         for a in answers[1:]:
             every = every.unionByName(a)
-        told = every.groupBy("bid").agg(F.collect_list(F.struct("level", "rng", "mask")).alias("replies"))
+        # as many partitions as buckets, else the packets would be shuffled to match the replies
+        told = every.repartition(buckets, "bid").groupBy("bid").agg(F.collect_list(F.struct("level", "rng", "mask")).alias("replies"))
         return base.join(told.hint("shuffle_hash"), "bid", "left").select(*columns, "replies")
 
     def read(row: dict) -> tuple[Packet, dict[int, dict[int, bytes]]]:
