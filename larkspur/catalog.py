@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.plans import code, retrieval
+from larkspur.plans import code, retrieval, storage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (retrieval, code):
+for _module in (retrieval, code, storage):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

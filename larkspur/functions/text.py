@@ -150,7 +150,7 @@ def fusion_alpha(query: Column) -> Column:
 # ---------------------------------------------------------------- results
 def truncated(text: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters, with dots where cut."""
-    head = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8"), "\uFFFD+$", "")
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")), "\uFFFD+$", "")
     return F.when(F.octet_length(text) > most, F.concat(head, F.lit("..."))).otherwise(text)
 
 
