@@ -82,9 +82,10 @@ def propagate(members: DataFrame, share: float, shards: int = SHARDS, rounds: in
         allowed = _shares(wishes.where("shard <> wish"), load, share)
         follow = _unit(F.col("hub"), F.lit(2 * r)) < _pick(F.col("wish"), allowed)
         centres = wishes.select("hub", F.when(follow, F.col("wish")).otherwise(F.col("shard")).alias("wish"))
-        # every member meets its centre's label by (hub, salt), so no centre's members meet in one task
+        # every member meets its centre's label by (hub, salt), so no centre's members meet in one task; the planner
+        # does not see that rows were multiplied, hence the hint against a broadcast
         spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        wishing, wishing_path = cut(now.join(spread, ["hub", "salt"]), "wishing")
+        wishing, wishing_path = cut(now.join(spread.hint("merge"), ["hub", "salt"]), "wishing")
         allowed = _shares(wishing.where("shard <> wish"), load, share)
         go = (F.col("shard") != F.col("wish")) & (_unit(F.col("row"), F.lit(2 * r + 1)) < _pick(F.col("wish"), allowed))
         new, new_path = cut(wishing.select("row", "size", "hub", "salt", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard")), "labels")
