@@ -27,7 +27,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/larkspur/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every scratch table of this application, once no result that reads them is needed."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("packets_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    remove(spark, f"{scratch_root(spark)}/larkspur/{spark.sparkContext.applicationId}")
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

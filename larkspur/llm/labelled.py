@@ -14,14 +14,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """(text, y) of at most max_rows labelled documents per class, by hash of the id, held-out rows left out.
 
     The chosen ids are at most 2 * max_rows rows, which bounds the broadcast; the texts are read where
-    they lie. Null ids and labels are left out.
+    they lie. Null ids and labels are left out; an id labelled twice counts once, with its larger label.
     """
-    from pyspark.sql import Window
-
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(F.max("y").alias("y"))
         .withColumn("o", F.xxhash64("doc_id"))
     )
     # One take-ordered per class: no class's rows are brought together.
@@ -29,5 +27,3 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen.select("doc_id", "y", "o")), "doc_id").select("text", "y", "o")
 
-
-__all__ = ["remainder", "training_sample"]

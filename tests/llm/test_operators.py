@@ -255,3 +255,83 @@ def test_text_buffer_of_slices():
     a = pa.array(["ab", None, "cé", ""]).slice(1)
     data, offsets = text_buffer(a)
     assert data.tobytes() == "cé".encode() and offsets.tolist() == [0, 0, 3, 3]
+
+
+# ---------------------------------------------------------------- rows without an id, and empty tables
+def test_null_ids_and_empty_tables(spark):
+    import corpus_pipeline
+    from larkspur.llm import repeats, simhash, spherical
+
+    text = "some words of a text that goes on " * 30
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (1, text, None, None, None), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.01]), (7, [1.0, 0.0]), (8, None)], "vec_id long, embedding array<float>")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(None, None, None)], "page_id long, url string, html string")
+    calls = [
+        (docs, media.text_media), (docs, simhash.near_duplicates), (docs, pieces.sampled_pieces), (docs, packing.pack_documents), (docs, sharding.shard), (docs, repeats.remove_repeats),
+        (docs, lambda d: toxicity.score_texts(d, toxicity.fit(d, labels))), (docs, lambda d: quality.score_texts(d, quality.fit(d, labels))), (vectors, spherical.near_duplicates), (pages, lambda p: warc.derive(warc.responses(p))),
+    ]
+    for df, call in calls:
+        assert call(df).count() >= df.count()
+        assert call(df.limit(0)).count() == 0
+    by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in spherical.near_duplicates(vectors).collect()}
+    assert by[7] == (2, 7, True) and by[8] == (0, 8, True) and by[None][2] is False
+    assert sorted(str(r.doc_id) for r in simhash.representatives(docs).collect()) == ["1", "2", "None", "None"]
+    assert corpus_pipeline.cut_repeats(spark, docs, "").select("text").distinct().count() == 1
+
+
+def test_pipeline_stages_against_their_definitions(spark, tmp_path):
+    """Each stage's rows are those its operator's definition leaves, on its own input."""
+    import corpus_pipeline
+    from larkspur.llm import simhash
+
+    rng = random.Random(8)
+    words = [f"wo{i}" for i in range(400)]
+    rows, labels = [], []
+    passage = " ".join(rng.choices(words, k=120))
+    for i in range(700):
+        toxic, good = int(rng.random() < 0.25), int(rng.random() < 0.75)
+        w = rng.choices(words, k=rng.randint(20, 120))
+        if toxic:
+            w.insert(3, "nasty")
+        text = " ".join(w) if good else " ".join(x + "$$$" for x in w)
+        if i % 50 == 0 and good and not toxic:
+            text += " " + passage
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, good, toxic))
+    rows += [(700 + i, rows[i][1], "en", "s", rows[i][4]) for i in range(20)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    truth = {i: (g, t) for i, g, t in labels} | {700 + i: labels[i][1:] for i in range(20)}
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r.text for r in docs.collect()}
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{at}")
+        docs = spark.read.parquet(f"{tmp_path}/{at}")
+        if name == "packing":
+            assert {r.doc_id for r in docs.collect()} == set(before)
+            continue
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        after = {r.doc_id: r for r in docs.collect()}
+        if name in ("quality", "toxicity"):
+            k, want = (0, 1) if name == "quality" else (1, 0)
+            kept = np.mean([i in after for i in before if truth[i][k] == want])
+            gone = np.mean([i not in after for i in before if truth[i][k] != want])
+            assert kept > 0.97 and gone > 0.9
+            assert all(after[i].text == before[i] for i in after)
+        elif name == "near-dedup":
+            group = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(before.items()), "doc_id long, text string")).collect()}
+            assert set(after) == set(group.values())
+        else:
+            raw = {i: t.encode() for i, t in before.items()}
+            seen = Counter(b[i : i + 400] for b in raw.values() for i in range(len(b) - 399))
+            assert any(c > 1 for c in seen.values())
+            for i, b in raw.items():
+                gone = np.zeros(len(b), bool)
+                for j in range(len(b) - 399):
+                    if seen[b[j : j + 400]] > 1:
+                        gone[j : j + 400] = True
+                assert after[i].text == bytes(np.frombuffer(b, np.uint8)[~gone]).decode() and after[i].n_chars == len(after[i].text)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
