@@ -19,6 +19,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read back: it survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/larkspur/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/larkspur/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkspur.checkpoints import settled
 from larkspur.functions import text as T
 
 K1, B = 1.2, 0.75
@@ -48,8 +49,9 @@ def build(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     Null texts are documents without terms. Lengths count unigrams.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = documents.select(F.col(key).alias("doc_id"), T.TOKENIZERS[tokenizer](t).alias("tokens"))
-    docs = base.select("doc_id", F.size("tokens").alias("dl"))
+    # tokenised once, into a table: postings, lengths and statistics all read it
+    base = settled(documents.select(F.col(key).alias("doc_id"), T.TOKENIZERS[tokenizer](t).alias("tokens")).withColumn("dl", F.size("tokens")), "tokens")
+    docs = base.select("doc_id", "dl")
     every = F.concat("tokens", T.bigrams(F.col("tokens"))) if bigrams else F.col("tokens")
     flat = base.select("doc_id", F.explode(every).alias("term"))
     if only is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larkspur.checkpoints import shared_folder
@@ -75,7 +77,7 @@ def changed_roots(spark, sf_dir):
 def export_points(spark, sf_dir):
     """Points as JSON lines and back."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    path = f"{shared_folder(spark)}/larkspur/export-{abs(hash(sf_dir))}"
+    path = f"{shared_folder(spark)}/larkspur/export-{uuid.uuid4().hex}"
     d.join(e, d.doc_id == e.vec_id).select(F.col("doc_id").alias("id"), F.col("embedding").alias("vector"), "text").write.mode("overwrite").json(path)
     records, _ = R.read_jsonl(spark, path)
     return records.select("id", F.size("vector").alias("dim"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x0"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -84,8 +86,6 @@ def export_points(spark, sf_dir):
 @query(f"WITH {_LATEST} SELECT user_id, event_id, event_type, value FROM l")
 def stream_update(spark, sf_dir):
     """The same as upsert_latest, through a stream that reads each file once."""
-    import uuid
-
     base = f"{shared_folder(spark)}/larkspur/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     I.replay(spark, sf_dir, events.schema, f"{base}/sink", f"{base}/state", "user_id", ("ts", "event_id"), pattern="events.parquet").awaitTermination()
