@@ -38,7 +38,7 @@ def _entities(c: Column) -> Column:
 def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, DROPPED, " ")
     text = _entities(F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]{2,}|[\t\r\f]", " "), r" ?\n[ \n]+| \n", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
@@ -150,7 +150,7 @@ def oracle_sql() -> str:
 
     text = f"regexp_replace(payload, {quote(DROPPED)}, ' ', 'g')"
     text = entities(f"regexp_replace(regexp_replace({text}, {quote(BREAKS)}, chr(10), 'g'), {quote(TAGS)}, '', 'g')")
-    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]{{2,}}|[\\t\\r\\f]', ' ', 'g'), ' ?\\n[ \\n]+| \\n', chr(10), 'g')"
     text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
     head = quote(HEADERS).replace("\r\n", "' || chr(13) || chr(10) || '")
     crlf = "chr(13) || chr(10)"
