@@ -275,3 +275,31 @@ def prefer_production(chunks: DataFrame) -> DataFrame:
     """One row per (file, name), production before test, then the earliest line."""
     w = Window.partitionBy("file", "name").orderBy("is_test", "start_line", "end_line")
     return chunks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "java": "java", "c": "c", "cpp": "cpp"}
+
+
+def symbol_tags(nodes: DataFrame) -> Column:
+    """kind:, lang:, vis:, role: and caller: tags of symbols with kind, file, signature, is_test and called_by."""
+    extension = F.lower(F.substring_index("file", ".", -1))
+    language = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), extension), F.lit("other"))
+    visible = F.when(F.coalesce(F.col("signature"), F.lit("")).rlike(r"^(pub|export)\b"), "pub").otherwise("private")
+    base = F.array(F.concat(F.lit("kind:"), "kind"), F.concat(F.lit("lang:"), language), F.concat(F.lit("vis:"), visible), F.when(F.col("is_test"), "role:test").otherwise("role:prod"))
+    return F.concat(base, F.transform(F.coalesce("called_by", F.array().cast("array<string>")), lambda c: F.concat(F.lit("caller:"), c)))
+
+
+NOISE = ("unwrap", "expect", "clone", "to_string", "into", "iter", "collect", "map", "push", "len", "format", "println", "print", "append", "len", "Ok", "Err", "Some")
+
+
+def unresolved_calls(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(idx, callee) of calls of the seeds that no symbol answers to; everyday library calls are left out."""
+    calls = nodes.join(seeds.select("idx"), "idx", "left_semi").select("idx", F.explode("calls").alias("callee")).distinct()
+    bare = F.lower(short_name(F.col("callee")))
+    known = nodes.select(F.lower(short_name(F.col("name"))).alias("k")).distinct()
+    return calls.where(~short_name(F.col("callee")).isin(*NOISE) & ~F.col("callee").rlike(r"^(std|core|alloc)::")).withColumn("k", bare).join(known, "k", "left_anti").select("idx", "callee")
+
+
+def refresh_edges(edges: DataFrame, path: str) -> None:
+    """Edges of some crates (column crate) replace those crates' partitions and leave the others alone."""
+    edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crate").parquet(path)

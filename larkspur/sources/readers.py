@@ -75,6 +75,25 @@ def open_reader(spark: SparkSession, path: str) -> DataFrame:
     raise InvalidArgument(f"no reader for .{kind}")
 
 
+def input_kind(spark: SparkSession, path: str) -> str:
+    """markdown, jsonl, vectors or parquet of a path; a folder is judged by what it holds, up to five levels down."""
+    kinds = {"md": "markdown", "markdown": "markdown", "jsonl": "jsonl", "ndjson": "jsonl", "fvecs": "vectors", "bvecs": "vectors", "parquet": "parquet"}
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise InvalidArgument(f"{path} does not exist")
+    level = [fs.getFileStatus(p)]
+    for _ in range(6):
+        below = []
+        for status in level:
+            if status.isDirectory():
+                below += list(fs.listStatus(status.getPath()))
+            elif (found := kinds.get(status.getPath().getName().rsplit(".", 1)[-1].lower())) is not None:
+                return found
+        level = below
+    raise InvalidArgument(f"nothing readable in {path}")
+
+
 # ---------------------------------------------------------------- markdown
 def read_markdown(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, text, mtime and size of markdown files, usual tool folders left out."""
