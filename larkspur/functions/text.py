@@ -14,6 +14,8 @@ KOREAN_STOPWORDS = sorted(
 SPACES = r"(?U)\s+"
 PUNCTUATION = r"(?:(?U:\s)|[!-/:-@\[-`{-~])+"
 CODE_SPLIT = r"(?:(?U:\s)|[(){}\[\]<>,;:.=+\-*/&|!?#@\"'`~^%\\])+"
+_IN_WORD = r"(?U:[^(){}\[\]<>,;:.=+\-*/&|!?#@\"'`~^%\\_\s])"
+CODE_PARTS = CODE_SPLIT + rf"|(?<={_IN_WORD})_+|_+(?={_IN_WORD})|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])"
 #: Between the two groups of each lies a boundary inside an identifier.
 BOUNDARIES = (r"([a-z])([A-Z])", r"([A-Za-z])([0-9])", r"([0-9])([A-Za-z])", r"([A-Z])([A-Z][a-z])")
 HANGUL = r"[\uAC00-\uD7AF\u1100-\u11FF\u3130-\u318F]"
@@ -46,11 +48,12 @@ def split_identifier(word: Column) -> Column:
 
 
 def code_tokens(text: Column) -> Column:
-    """Identifier parts of at least two bytes that are no keywords."""
-    words = _filled(F.split(text, CODE_SPLIT))
-    parts = F.transform(F.flatten(F.transform(words, split_identifier)), lambda x: F.lower(x))
-    stop = F.array(*[F.lit(w) for w in CODE_STOPWORDS])
-    return F.filter(parts, lambda x: (F.octet_length(x) >= 2) & ~F.array_contains(stop, x))
+    """Identifier parts of at least two bytes that are no keywords: one split of the whole text.
+
+    It splits at separators, at underscores beside a word, and at the boundaries inside identifiers.
+    """
+    parts = F.transform(_filled(F.split(text, CODE_PARTS)), lambda x: F.lower(x))
+    return F.filter(parts, lambda x: (F.octet_length(x) >= 2) & ~x.isin(CODE_STOPWORDS))
 
 
 TOKENIZERS = {"whitespace": whitespace_tokens, "simple": simple_tokens, "code": code_tokens}

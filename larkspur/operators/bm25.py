@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.checkpoints import settled
 from larkspur.functions import text as T
+from larkspur.session import spread
 
 K1, B = 1.2, 0.75
 
@@ -50,7 +51,7 @@ def build(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # tokenised once, into a table: postings, lengths and statistics all read it
-    base = settled(documents.select(F.col(key).alias("doc_id"), T.TOKENIZERS[tokenizer](t).alias("tokens")).withColumn("dl", F.size("tokens")), "tokens")
+    base = settled(spread(documents.select(key, text)).select(F.col(key).alias("doc_id"), T.TOKENIZERS[tokenizer](t).alias("tokens")).withColumn("dl", F.size("tokens")), "tokens")
     docs = base.select("doc_id", "dl")
     every = F.concat("tokens", T.bigrams(F.col("tokens"))) if bigrams else F.col("tokens")
     flat = base.select("doc_id", F.explode(every).alias("term"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions import text as T
+from larkspur.session import spread
 
 K = 64
 PRIME = (1 << 31) - 1
@@ -26,7 +27,7 @@ def features(tokens: Column) -> Column:
 def signatures(df: DataFrame, key: str, text: str, least: int = LEAST_TOKENS) -> DataFrame:
     """(id, sig) of texts with at least `least` tokens: the K least values of linear hashes over the features."""
     tokens = T.minhash_tokens(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    base = df.select(F.col(key).cast("long").alias("id"), tokens.alias("t")).where(F.size("t") >= least).select("id", features(F.col("t")).alias("f"))
+    base = spread(df.select(key, text)).select(F.col(key).cast("long").alias("id"), tokens.alias("t")).where(F.size("t") >= least).select("id", features(F.col("t")).alias("f"))
     a, b = np.array(MULTIPLIERS, np.int64), np.array(OFFSETS, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

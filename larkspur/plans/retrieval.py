@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.functions import text as T, vectors as V
 from larkspur.operators import bm25, fusion, knn as K
+from larkspur.session import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -140,7 +141,7 @@ _CODE = f"""list_filter(list_transform(flatten(list_transform({_WORDS}, lambda x
 
 
 def _tokens(spark, sf_dir, tokenizer):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", T.TOKENIZERS[tokenizer](F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 

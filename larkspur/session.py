@@ -7,7 +7,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _DONE: set[str] = set()
@@ -31,3 +31,12 @@ def ship(spark: SparkSession) -> None:
         f.write(data.getvalue())
     context.addPyFile(target)
     _DONE.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are, as one row group does.
+
+    With as many splits as cores or more, which any large table has, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
