@@ -94,9 +94,10 @@ def test_markdown(spark, tmp_path):
     assert got[0].f.title == "T: x" and got[0].f.tags == ["a", "b"] and got[0].f.date == "2024" and got[0].f.custom == {"k": "v:w"} and got[1].f is None and got[2].f is None
     body = "# A\n\n" + "x" * 120 + "\n\n## B\n\nshort\n\n# C\n\n```py\ncode # no\n```\n" + "y" * 200
     chunks = R.chunk_markdown(body)
-    assert [c[1] for c in chunks] == [["A"], ["B\n\nshort\n\nC"]] or [c[1][0] for c in chunks][0] == "A"
+    assert [c[1] for c in chunks] == [["A"], ["B\n\nshort\n\nC"]]
     assert "```\ncode # no\n\n```" in chunks[-1][0]
-    assert R.chunk_markdown("z" * 99) == [] and R.chunk_markdown("   ") == []
+    # the end of a paragraph counts two bytes
+    assert R.chunk_markdown("z" * 97) == [] and len(R.chunk_markdown("z" * 98)) == 1 and R.chunk_markdown("   ") == []
     long = R.chunk_markdown("\n\n".join(["p" * 400] * 6), target=1000, overlap=50)
     assert len(long) == 2 and long[1][0].startswith("p" * 48 + "\n\n") and long[0][3] - long[1][2] == 50
     assert not R.chunk_markdown("\n\n".join(["p" * 600] * 4), overlap=0)[1][0].startswith("\n")
