@@ -5,9 +5,13 @@ one of L random directions per block, so there are L**4 of them a rotation. Each
 filters with the highest caps it exceeds, list-decoded from the best directions of its blocks and
 never enumerated: the height is set per vector so that six are exceeded, since with one height for
 all the structured code gives some vectors thousands of filters and others none. Vectors with a
-common filter are compared exactly, in double precision. L grows with the fourth root of the number
-of distinct vectors, so filters stay small, and the rotations with its logarithm; a pair at the
-threshold has no common filter about once in 100,000 times (measured: none in 3,000 at cosine 0.9).
+common filter are compared exactly, in double precision.
+
+Rotations are independent, so a pair lacks a common filter in all T of them with probability p**T.
+p is measured, for each L and for the dimension at hand, on random pairs at the threshold; T is then
+the least number with p**T at most MISS, taking p three standard errors too high. Of the L that is
+chosen which makes the least work by a model of the costs. Where even that is more work than to
+compare all pairs (few vectors, or few dimensions), all pairs are compared, block by block.
 
 Null vectors, zero vectors and those with null or non-finite components link with nothing; vectors of
 different length are not compared. Equal vectors are one class and are not paired up. Repeated ids are
@@ -27,18 +31,25 @@ from .common import cut
 from .components import components
 
 BLOCKS = 4
+#: Probability that a pair at the threshold has no common filter.
+MISS = 1e-6
+#: Rough seconds for a multiplication, a compared pair, a filter of a vector and a candidate pair.
+MULTIPLY, COMPARE, ENTRY, CANDIDATE = 1e-10, 1e-9, 2e-6, 4e-6
+#: Comparing all pairs is not weighed against anything where it takes less than that.
+PLAN_SECONDS = 10
+BLOCK_BYTES = 16 << 20
 
 
 class Filters:
-    """The product codes for vectors of d dimensions and about n of them."""
+    """The first product codes of L = size for vectors of d dimensions, one a rotation."""
 
-    def __init__(self, d: int, n: int, per_rotation: int = 6, seed: int = 7) -> None:
-        rng = np.random.default_rng([seed, d])
+    def __init__(self, d: int, size: int, rotations: int, per_rotation: int = 6, seed: int = 7) -> None:
         self.per = per_rotation
         self.d = max(BLOCKS * 2, -(-d // BLOCKS) * BLOCKS)
-        self.size = min(1024, max(16, 1 << math.ceil(math.log2((16.0 * max(n, 1)) ** (1 / BLOCKS)))))
+        self.size = size
         self.codes = []
-        for _ in range(4 * int(math.log2(self.size))):
+        for t in range(rotations):
+            rng = np.random.default_rng([seed, d, size, t])
             turn = np.linalg.qr(rng.standard_normal((self.d, self.d)))[0][:d]
             code = rng.standard_normal((BLOCKS, self.size, self.d // BLOCKS))
             self.codes.append((turn, code / np.linalg.norm(code, axis=2, keepdims=True)))
@@ -49,7 +60,7 @@ class Filters:
 
     def _best(self, x: np.ndarray, turn: np.ndarray, code: np.ndarray) -> np.ndarray:
         k = self.per
-        products = np.einsum("nbk,blk->nbl", (x @ turn).reshape(len(x), BLOCKS, -1), code)
+        products = ((x @ turn).reshape(len(x), BLOCKS, -1).transpose(1, 0, 2) @ code.transpose(0, 2, 1)).transpose(1, 0, 2)
         value, index = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
         for b in range(BLOCKS):
             at = np.argpartition(-products[:, b], k - 1, axis=1)[:, :k]
@@ -65,6 +76,41 @@ class Filters:
         return index
 
 
+def pairs_at(cosine: float, d: int, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at that cosine."""
+    rng = np.random.default_rng([seed, d])
+    x, y = (_unit(rng.standard_normal((n, d))) for _ in range(2))
+    y = _unit(y - np.einsum("ij,ij->i", x, y)[:, None] * x)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
+def _scan_seconds(d: int, n: int) -> float:
+    return n * n / 2 * (d * MULTIPLY + COMPARE)
+
+
+def plan(d: int, n: int, threshold: float, sample: np.ndarray, per_rotation: int = 6, rotations: int = 16) -> tuple[int, int] | None:
+    """(L, T) that lose a pair at the threshold with probability MISS; None where comparing all pairs is less work.
+
+    sample holds some of the unit vectors: how often they meet by chance tells the number of candidates.
+    """
+    least, chosen = _scan_seconds(d, n), None
+    if d < 2 * BLOCKS or not -1 < threshold < 1 or least < PLAN_SECONDS:
+        return None
+    x, y = pairs_at(threshold, d, 512)
+    possible = max(1, len(sample) * (len(sample) - 1) // 2) * rotations
+    for size in (16, 32, 64, 128, 256, 512, 1024):
+        codes = Filters(d, size, rotations, per_rotation)
+        fx, fy, met = codes.passed(x).reshape(len(x), rotations, 1, -1), codes.passed(y).reshape(len(y), rotations, -1, 1), np.unique(codes.passed(sample), return_counts=True)[1]
+        missed = 1 - (fx == fy).any((2, 3)).mean(0)
+        p = min(max(missed.mean() + 3 * missed.std(ddof=1) / math.sqrt(rotations), 1e-3), 1 - 1e-9)
+        turns = math.ceil(math.log(MISS) / math.log(p))
+        chance = float((met * (met - 1) // 2).sum() + 1) / possible
+        work = turns * (n * per_rotation * ENTRY + n * d * (d + size) * MULTIPLY + chance * n * n / 2 * CANDIDATE)
+        if work < least:
+            least, chosen = work, (size, turns)
+    return chosen
+
+
 def _pack(column: pa.Array) -> list[bytes | None]:
     """Each usable vector as doubles; None for the others."""
     out = []
@@ -83,6 +129,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def all_pairs(classes: DataFrame, counts: dict[int, int], threshold: float) -> DataFrame:
+    """(a, b), a < b, of classes(cid, v, d) of equal d, by single-precision products less a margin for their error.
+
+    Each pair of blocks of vectors meets in one task; counts are those of each d.
+    """
+    spark = classes.sparkSession
+    if not counts:
+        return spark.createDataFrame([], "a long, b long")
+    blocks = {d: max(-(-n * d * 4 // BLOCK_BYTES), min(8, -(-n // 1024))) for d, n in counts.items()}
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = [_unit(np.frombuffer(v)[None]).astype(np.float32).tobytes() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.binary()), b.column(2)], ["cid", "u", "d"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        if not len(t):
+            return
+        i, j, d = (t.column(k)[0].as_py() for k in ("i", "j", "d"))
+        cid, own = t.column("cid").to_numpy(), t.column("block").to_numpy()
+        x = np.frombuffer(b"".join(t.column("u").to_pylist()), np.float32).reshape(len(t), d)
+        (ca, xa), (cb, xb) = ((cid[own == k], x[own == k]) for k in (i, j))
+        least = threshold - 1e-6 * (d + 10)
+        for r in range(0, len(xa), 2048):
+            for c in range(r if i == j else 0, len(xb), 2048):
+                p, q = np.nonzero(xa[r : r + 2048] @ xb[c : c + 2048].T >= least)
+                a, b = ca[r + p], cb[c + q]
+                once = r + p < c + q if i == j else slice(None)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[once]), pa.array(np.maximum(a, b)[once])], ["a", "b"])
+
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("d"))
+    rows = classes.select("cid", "v", "d").mapInArrow(shorten, "cid long, u binary, d int").withColumn("block", F.pmod(F.xxhash64("cid"), number).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), number - 1))).select("cid", "u", "d", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.groupBy("d", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_rotation: int = 6) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of df."""
 
@@ -93,7 +176,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     source = df.select(F.monotonically_increasing_id().alias("row"), df[key].cast("long").alias("vec_id"), df[vector].cast("array<double>").alias("e"))
     rows, _ = cut(source.mapInArrow(pack, "row long, vec_id long, v binary"), "vectors")
     classes, _ = cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("cid"), F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    n = classes.count()
+    classes = classes.withColumn("d", (F.length("v") / 8).cast("int"))
+    plans: dict[int, tuple[int, int] | None] = {}
+    counts = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()}  # one row a dimension
+    for d, n in counts.items():
+        some = classes.where(F.col("d") == d).orderBy(F.xxhash64("cid")).limit(1024).select("v").collect() if _scan_seconds(d, n) >= PLAN_SECONDS else []
+        plans[d] = plan(d, n, threshold, _unit(np.array([np.frombuffer(r["v"]) for r in some])), per_rotation) if some else None
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Filters] = {}
@@ -103,7 +191,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 by.setdefault(len(v) // 8, []).append((cid, v))
             for d, group in by.items():
                 if d not in codes:
-                    codes[d] = Filters(d, n, per_rotation)
+                    codes[d] = Filters(d, *plans[d], per_rotation)
                 x = _unit(np.array([np.frombuffer(v) for _, v in group]))
                 ids = np.array([c for c, _ in group], dtype=np.int64)
                 for at in range(0, len(x), 1024):
@@ -111,9 +199,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                     cid, filters = np.repeat(ids[at : at + 1024], found.shape[1]), found.ravel()
                     yield pa.RecordBatch.from_arrays([pa.array(filters), pa.array(np.full(len(filters), d, np.int32)), pa.array(cid)], ["f", "d", "cid"])
 
-    passed, _ = cut(classes.select("cid", "v").repartition("cid").mapInArrow(decode, "f long, d int, cid long"), "filters")
-    left, right = passed.select("f", "d", F.col("cid").alias("a")), passed.select("f", "d", F.col("cid").alias("b"))
-    candidates = left.join(right, ["f", "d"]).where("a < b").select("a", "b").distinct()
+    scanned = [d for d, p in plans.items() if p is None]
+    candidates = all_pairs(classes.where(F.col("d").isin(scanned)), {d: counts[d] for d in scanned}, threshold)
+    if len(scanned) < len(plans):
+        passed, _ = cut(classes.where(~F.col("d").isin(scanned)).select("cid", "v").repartition("cid").mapInArrow(decode, "f long, d int, cid long"), "filters")
+        left, right = passed.select("f", "d", F.col("cid").alias("a")), passed.select("f", "d", F.col("cid").alias("b"))
+        candidates = candidates.unionByName(left.join(right, ["f", "d"]).where("a < b").select("a", "b").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

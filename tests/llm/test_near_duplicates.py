@@ -101,6 +101,45 @@ def test_spherical_matches_brute_force(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("d,n", [(64, 10_000), (64, 3_000_000), (64, 300_000_000), (32, 30_000_000), (24, 1_000_000), (16, 1_000_000)])
+def test_spherical_plans_lose_few_pairs(d, n):
+    """At any size of the table, pairs at the threshold meet in a filter, or all pairs are compared."""
+    sample = spherical._unit(np.random.default_rng(5).standard_normal((512, d)))
+    found = spherical.plan(d, n, 0.9, sample)
+    if found is None:
+        return
+    size, rotations = found
+    x, y = spherical.pairs_at(0.9005, d, 3000, seed=6)
+    met = np.zeros(3000, bool)
+    codes = spherical.Filters(d, size, rotations)
+    for at in range(0, 3000, 500):
+        fx, fy = (codes.passed(v[at : at + 500]).reshape(500, rotations, -1) for v in (x, y))
+        met[at : at + 500] = (fx[:, :, :, None] == fy[:, :, None, :]).any((1, 2, 3))
+    assert met.all()
+
+
+@pytest.mark.parametrize("d", [2, 8, 16])
+def test_spherical_loses_none_in_low_dimensions(spark, d):
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((1500, d))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in spherical.near_duplicates(df).collect()} == dict(enumerate(want.tolist()))
+
+
+def test_spherical_filters_and_scan_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((500, 24))
+    x = np.concatenate([base, base + rng.standard_normal(base.shape) * 0.4])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = []
+    for seconds in (1e-9, 1.0):  # all pairs are little work, or much
+        monkeypatch.setattr(spherical, "COMPARE", seconds)
+        got.append(sorted(map(tuple, spherical.near_duplicates(df).collect())))
+    assert got[0] == got[1] and sum(r[1] for r in got[0]) > 200
+
+
 def test_extra_columns_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, v int")
     assert [r.n_links for r in spherical.near_duplicates(df.withColumn("n_links", F.lit("x"))).collect()] == [1, 1]
