@@ -5,6 +5,8 @@ Nodes have idx, name, kind, file, is_test, ...; edges have src, dst and call_lin
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.checkpoints import settled
@@ -152,20 +154,25 @@ def blast(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2,
     return out if tests else out.where(~F.col("is_test"))
 
 
-def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 32) -> DataFrame:
-    """One row with the shortest undirected path from any source to any target (the smallest of equal ones), or none."""
+def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """One row with the shortest undirected path from any source to any target (the smallest of equal ones), or none.
+
+    The search ends at a target or when nothing new is reached, or, if asked to, after `most` steps.
+    """
     both = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
     both = settled(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "undirected")
     goal = targets.select(F.col("idx").cast("long").alias("idx")).distinct()
     frontier = settled(sources.select(F.col("idx").cast("long").alias("idx")).distinct().select("idx", F.array("idx").alias("path")), "path")
     seen = frontier.select("idx")
-    for _ in range(most + 1):
+    for step in count() if most is None else range(most + 1):
         hit = frontier.join(goal, "idx", "left_semi").agg(F.min("path").alias("path")).where("path IS NOT NULL")
         if not hit.isEmpty() or frontier.isEmpty():
             return hit
         grown = frontier.join(both, F.col("idx") == F.col("a")).select(F.col("b").alias("idx"), F.concat("path", F.array("b")).alias("path"))
         frontier = settled(grown.join(seen, "idx", "left_anti").groupBy("idx").agg(F.min("path").alias("path")), "path")
         seen = seen.unionByName(frontier.select("idx"))
+        if step % 16 == 15:  # else the plan grows with the distance
+            seen = settled(seen, "seen")
     return frontier.where("false").select("path")
 
 

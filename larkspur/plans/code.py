@@ -93,7 +93,8 @@ def bfs_reverse_blast(spark, sf_dir):
 w AS (SELECT 1::BIGINT AS idx, [1::BIGINT] AS path UNION ALL SELECT b, list_append(path, b) FROM w JOIN u ON a = idx WHERE len(path) < 7 AND NOT list_contains(path, b)),
 h AS (SELECT path FROM w WHERE idx = 90 ORDER BY len(path), path LIMIT 1) SELECT array_to_string(path, '>') AS path FROM h""")
 def shortest_path(spark, sf_dir):
-    found = G.shortest_path(edges(spark, sf_dir), _ids(spark, 1), _ids(spark, 90), 6)
+    """Of any length. The SQL enumerates paths of up to seven nodes: where the nearest is longer it finds none."""
+    found = G.shortest_path(edges(spark, sf_dir), _ids(spark, 1), _ids(spark, 90))
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 

@@ -1,5 +1,7 @@
 """Graphs and clones on the small shapes they are known by."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,32 @@ def test_paths(spark):
     assert path([(1, 5), (2, 6)], [1, 2], [6, 7]) == [[2, 6]]
 
 
+def test_paths_of_any_length(spark):
+    chain = [(i, i + 1) for i in range(36)]
+    assert [r.path for r in G.shortest_path(edges(spark, chain), ids(spark, 0), ids(spark, 36)).collect()] == [list(range(37))]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_shortest_path_query_against_plain_search(spark):
+    from larkspur.plans import code
+
+    near: dict[int, set[int]] = {}
+    for r in code.edges(spark, "/root/testdata/sf0.1").collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    paths = {1: [1]}
+    level = [1]
+    while level and 90 not in paths:
+        grown: dict[int, list[int]] = {}
+        for a in level:
+            for b in near[a] - paths.keys():
+                grown[b] = min(grown.get(b, [*paths[a], b]), [*paths[a], b])
+        paths |= grown
+        level = list(grown)
+    assert len(paths[90]) > 7
+    assert [r.path for r in code.shortest_path(spark, "/root/testdata/sf0.1").collect()] == [">".join(map(str, paths[90]))]
+
+
 def test_flow_tree(spark):
     e = edges(spark, [(1, 2), (1, 3), (2, 3), (3, 1)])
     assert G.flow_tree(e, 1, 3) == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 1, True), (1, 3, True)]
