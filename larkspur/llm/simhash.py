@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, cut, text_bytes
 from .components import components
@@ -148,15 +148,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return prints.join(resolved, "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", unnamed: bool = False) -> DataFrame:
     """The rows of df that stand for their group of near-duplicates (the smallest doc_id), all columns.
 
-    Of rows that repeat that doc_id one stays; rows without a doc_id are not compared and stay.
+    Groups are of rows, whatever their doc_id: of rows that repeat the smallest doc_id of one group one
+    stays, rows of different groups that share a doc_id all do. Rows without a doc_id are not compared
+    and stay, unless unnamed: then they are like others, and stand for a group where no row has a doc_id.
     """
-    groups, _ = cut(near_duplicates(df.where(F.col(key).isNotNull()), key, text).where("doc_id = component_id").select(F.col("doc_id").alias(key)), "kept")
-    kept = df.join(groups.distinct().hint("shuffle_hash"), key, "left_semi")
-    counts = groups.agg(F.count("*").alias("n"), F.countDistinct(key).alias("d")).first()
-    if counts["n"] != counts["d"]:  # only then are texts sorted
-        order = Window.partitionBy(key).orderBy(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-        kept = kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
-    return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
+    # rows are numbered in a table, since a plan that is run again may number them otherwise
+    rows, _ = cut(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    compared = rows if unnamed else rows.where(F.col(key).isNotNull())
+    groups, _ = cut(near_duplicates(compared, "_row", text).select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
+    named = groups.join(rows.select("_row", F.col(key).cast("long").alias("id")), "_row")
+    best, _ = cut(named.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best._row").alias("_row")), "kept")
+    kept = compared.join(best.hint("shuffle_hash"), "_row", "left_semi").select(*df.columns)
+    return kept if unnamed else kept.unionByName(rows.where(F.col(key).isNull()).select(*df.columns))

@@ -281,6 +281,20 @@ def test_null_ids_and_empty_tables(spark):
     assert corpus_pipeline.cut_repeats(spark, docs, "").select("text").distinct().count() == 1
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows without an id are compared, and rows that share an id are not taken for each other."""
+    import corpus_pipeline
+
+    a, b, c, d, e, f = (" ".join(f"{x}{i * i}" for i in range(80)) for x in "abcdef")
+    rows = [(0, b), (1, a), (1, b), (5, c), (5, d), (None, e), (None, e), (9, e), (None, f), (None, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    want = [(0, b), (1, a), (5, c), (5, d), (9, e), (None, f)]
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted((str(i), t) for i, t in want)
+    assert left.columns == docs.columns
+    assert sorted(r.kept_text for r in corpus_pipeline.repeats.remove_repeats(left, keep=("kept_text",)).collect()) == sorted(t for _, t in want)
+
+
 def test_pipeline_stages_against_their_definitions(spark, tmp_path):
     """Each stage's rows are those its operator's definition leaves, on its own input."""
     import corpus_pipeline
