@@ -177,10 +177,14 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, most
 
 
 def flow_tree(edges: DataFrame, root: int, depth: int, skip: set[int] = frozenset()) -> list[tuple[int, int, bool]]:
-    """(level, idx, repeated) in preorder: Spark fetches the bounded subgraph, the tree is drawn on the driver."""
+    """(level, idx, repeated) in preorder: Spark fetches all edges of the nodes to expand, the tree is drawn on the driver.
+
+    The driver holds those edges; more than spark.driver.maxResultSize of them is an error, none is left out.
+    """
     spark = edges.sparkSession
-    near = bfs(edges, spark.createDataFrame([(root,)], "idx long"), depth)
-    rows = edges.join(near.select(F.col("idx").alias("src")), "src", "left_semi").select("src", "dst").distinct().orderBy("src", "dst").limit(100_000).collect()
+    edges = edges.select("src", "dst").where(~F.col("dst").isin(*skip)) if skip else edges.select("src", "dst")
+    near = bfs(edges, spark.createDataFrame([(root,)], "idx long"), depth - 1).where(F.col("depth") < depth)
+    rows = edges.join(near.select(F.col("idx").alias("src")), "src", "left_semi").distinct().orderBy("src", "dst").collect()
     children: dict[int, list[int]] = {}
     for r in rows:
         children.setdefault(r["src"], []).append(r["dst"])
@@ -193,7 +197,7 @@ def flow_tree(edges: DataFrame, root: int, depth: int, skip: set[int] = frozense
         if node in done or level >= depth:
             continue
         done.add(node)
-        stack += [(level + 1, c) for c in reversed(children.get(node, [])) if c not in skip]
+        stack += [(level + 1, c) for c in reversed(children.get(node, []))]
     return out
 
 

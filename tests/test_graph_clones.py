@@ -68,6 +68,13 @@ def test_shortest_path_query_against_plain_search(spark):
 def test_flow_tree(spark):
     e = edges(spark, [(1, 2), (1, 3), (2, 3), (3, 1)])
     assert G.flow_tree(e, 1, 3) == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 1, True), (1, 3, True)]
+    assert G.flow_tree(e, 1, 3, {3}) == [(0, 1, False), (1, 2, False)] and G.flow_tree(e, 1, 0) == [(0, 1, False)]
+
+
+def test_flow_tree_of_many_edges(spark):
+    wide = spark.range(10, 100_010).select(F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1).alias("call_line"))
+    tree = G.flow_tree(wide.unionByName(edges(spark, [(0, 1), (0, 2), (2, 5)])), 0, 2)
+    assert len(tree) == 100_004 and tree[-2:] == [(1, 2, False), (2, 5, False)]
 
 
 @pytest.fixture(scope="module")
