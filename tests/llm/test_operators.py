@@ -240,6 +240,14 @@ def test_classifiers_without_labels(spark):
     assert quality.score_texts(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_held_out_labels_do_not_move_the_quality_model(spark):
+    docs, labels = _labelled(spark, 200)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    turned = labels.withColumn("quality", F.when(held, 0).otherwise(F.col("quality")))
+    a, b = quality.fit(docs, labels), quality.fit(docs, turned)
+    assert a.cut == b.cut and a.spread == b.spread and np.array_equal(a.weight, b.weight)
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, quality.N_FEATURES))
