@@ -33,8 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte of a 400-byte string that starts anywhere else goes; documents stay, shorter or empty."""
-    cleaned = repeats.remove_repeats(docs, keep=("kept_text",))
+    """Every byte of a string of repeats.PASSAGE bytes that starts anywhere else goes; documents stay, shorter or empty.
+
+    The width is that of a passage of fifty words, not the 400 bytes of op9: prose of just over fifty
+    words has fewer bytes than that.
+    """
+    cleaned = repeats.remove_repeats(docs, width=repeats.PASSAGE, keep=("kept_text",))
     return cleaned.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
 
 

@@ -91,6 +91,20 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], n_bytes: int, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches put together until the texts of a column come to n_bytes, or as far as there are any."""
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        some.append(b)
+        size += b.column(column).nbytes
+        if size >= n_bytes:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, size = [], 0
+    if size or any(len(b) for b in some):
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
 def spans(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of about limit bytes together; one longer text makes a run alone."""
     a, n = 0, len(offsets) - 1

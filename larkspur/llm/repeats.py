@@ -2,25 +2,32 @@
 
 Wanted: every start of a `width`-byte string that also starts anywhere else, in any text. A full suffix
 order sorts every suffix; here only the names of suffix prefixes matter, so the algorithm keeps of the
-order what decides them:
+order what decides them (the two stated departures: no full order is built, and names are hashes):
 
 * Sample: with D a difference cover modulo v, any two starts i and j have a common shift d < v that
   puts both i + d and j + d into the sample {p : p mod v in D}. If the strings at i and j are equal,
   so are the (width - v + 1)-byte tuples of the two sampled places.
-* Name and sort: the tuples are named by 64-bit hashes, sorted, and neighbours compared. A place whose
+* Name and sort: the tuples are named by hashes, sorted, and neighbours compared. A place whose
   name is unique is settled and is discarded, with every start that no repeated place supports.
 * Recurse: the starts left are sampled with the next finer cover (273, then 31) and longer tuples.
 * Merge: the last cover is modulo 1, where tuples are the whole strings: each remaining start is
-  compared with its neighbours in sorted order over all `width` bytes.
+  compared with its neighbours in sorted order by a name of 127 bits (two hashes) over all `width` bytes.
+  Coarser levels only discard, so their 31-bit names cost work where they clash, never a byte.
 
-Texts travel once, into a bucketed table of packets of a few MB; afterwards only sorted name lists
-(four or eight bytes a place, each name once a packet) are shuffled by name range, and one bit a name
-returns. So a string that half the corpus holds is one name from each packet, in one range among many.
-Whole texts that are equal are found first in the same way; one of them stands for all.
+Several widths may be asked for at once. The narrowest goes through all levels; a start can only repeat
+at a wider width where all narrower strings within it do, so each further width is one last level more.
+
+Texts travel once, into a bucketed table of packets; afterwards only sorted name lists (four or sixteen
+bytes a place, each name once a packet) are shuffled by name range, and one bit a name returns. So a
+string that half the corpus holds is one name from each packet, in one range among many. Packets and
+ranges grow with the square root of the text (4 MB up to 64 GB, 128 MB at 64 TB and beyond), so that
+a packet still has several names for each range. Whole texts that are equal are found first in the
+same way; one of them stands for all.
 
 Defined results: null texts are empty; texts shorter than `width` lose nothing; of equal texts of at
-least `width` bytes every byte is removed; rows with equal ids are separate texts; an empty table gives
-an empty result; input columns named like a result column are dropped.
+least `width` bytes every byte is removed; a very long text is one packet of its own; rows with equal
+ids are separate texts; an empty table gives an empty result; input columns named like a result column
+are dropped. There are no ties: a string either starts elsewhere or does not.
 """
 
 from __future__ import annotations
@@ -34,42 +41,64 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bounded_batches, cut, prefix_hash, scratch_path, spans, text_buffer, window_hash
+from .common import POWERS_2, U64, bounded_batches, cut, gathered, prefix_hash, scratch_path, spans, text_buffer, window_hash
 
 WIDTH = 400
+#: Fifty words of five bytes, the space counted: what a passage of over fifty words has at least in prose.
+PASSAGE = 250
 #: Perfect difference sets: every difference modulo v occurs.
 COVERS = {
     273: (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256),
+    183: (0, 1, 3, 31, 45, 50, 56, 65, 77, 125, 143, 147, 160, 176),
+    133: (0, 1, 3, 17, 21, 58, 65, 73, 100, 105, 111, 124),
+    57: (0, 1, 3, 13, 32, 36, 43, 52),
     31: (1, 5, 11, 24, 25, 27),
     7: (1, 2, 4),
     1: (0,),
 }
-PACKET = 4 << 20
-RANGE_BYTES = 4 << 20
+LEAST_PACKET, MOST_PACKET = 4 << 20, 128 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
 
 
-def moduli(width: int) -> list[tuple[int, int]]:
-    """(v, bytes of a name that are shuffled) of the levels: tuples of a quarter of the width at least."""
-    return [(v, 4) for v in (273, 31) if width - v + 1 >= width // 4] + [(1, 8)]
+def moduli(widths: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """(width, v, bytes of a name that are shuffled) of the levels: tuples of a quarter of the width at least.
+
+    Widths ascend; each after the first has only the last level.
+    """
+    fits = [v for v in sorted(COVERS, reverse=True) if v > 7 and widths[0] - v + 1 >= widths[0] // 4]
+    coarse = fits[:1] + [31] * (len(fits) > 1)
+    return [(widths[0], v, 4) for v in coarse] + [(w, 1, 16) for w in widths]
+
+
+def packet_size(total: int) -> int:
+    """Bytes of a packet, and of the names of a range."""
+    return min(MOST_PACKET, max(LEAST_PACKET, int(16 * total**0.5)))
 
 
 class Names:
-    """The distinct names of a packet at one level, as sent, and the way back from replies to places."""
+    """The distinct names of a packet at one level, as sent, and the way back from replies to places.
+
+    At the last level a name is two hashes; the second tells apart what the first does not.
+    """
 
-    def __init__(self, h: np.ndarray, ranges: int, size: int) -> None:
-        self.unique, self.inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    def __init__(self, h: np.ndarray, ranges: int, second: np.ndarray | None = None) -> None:
+        self.unique, first, self.inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        self.second = None if second is None else second[first]
+        if second is not None and (self.second[self.inverse] != second).any():
+            both = np.zeros(len(h), [("a", np.uint64), ("b", np.uint64)])
+            both["a"], both["b"] = h, second
+            pairs, self.inverse, count = np.unique(both, return_inverse=True, return_counts=True)
+            self.unique, self.second = pairs["a"].copy(), pairs["b"].copy()
         self.several = count > 1
         self.range = ((self.unique >> U64(32)) * U64(ranges)) >> U64(32)
-        self.size = size
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        """(range, names with their lowest bit telling whether the packet has them more than once)."""
+        """(range, names with their lowest bit telling whether the packet has them more than once, second hashes)."""
         word = (self.unique & ~U64(1)) | self.several.astype(U64)
-        word = word.astype("<u4") if self.size == 4 else word
+        word = word.astype("<u4") if self.second is None else word
         for r, i, j in self.slices():
-            yield r, word[i:j].tobytes()
+            yield r, word[i:j].tobytes() + (b"" if self.second is None else self.second[i:j].tobytes())
 
     def slices(self) -> Iterator[tuple[int, int, int]]:
         """(range, from, to) of the sorted names."""
@@ -87,20 +116,27 @@ class Names:
 
 def compare(blobs: list[bytes], size: int) -> list[bytes]:
     """Sort the names of a range over all packets, compare neighbours, answer one bit a name."""
-    kind = "<u4" if size == 4 else "<u8"
-    parts = [np.frombuffer(b, kind) for b in blobs]
-    word = np.concatenate(parts)
+    lengths = [len(b) // size for b in blobs]
+    word = np.concatenate([np.frombuffer(b, "<u4" if size == 4 else "<u8", n) for b, n in zip(blobs, lengths, strict=True)])
     order = np.argsort(word >> 1)
     name = word[order] >> 1
     same = name[1:] == name[:-1]
+    if size > 8:
+        second = np.concatenate([np.frombuffer(b, "<u8", n, 8 * n) for b, n in zip(blobs, lengths, strict=True)])
+        alike = second[order][1:] == second[order][:-1]
+        if (same & ~alike).any():  # only here does the order within equal first hashes matter
+            order = np.lexsort((second, word >> 1))
+            name, alike = word[order] >> 1, second[order][1:] == second[order][:-1]
+            same = name[1:] == name[:-1]
+        same &= alike
     twice = np.zeros(len(word), bool)
     twice[1:] |= same
     twice[:-1] |= same
     hit = np.zeros(len(word), bool)
     hit[order] = twice
     hit |= (word & 1) == 1
-    ends = np.cumsum([len(p) for p in parts])
-    return [np.packbits(hit[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
+    ends = np.cumsum(lengths)
+    return [np.packbits(hit[e - n : e]).tobytes() for n, e in zip(lengths, ends, strict=True)]
 
 
 def compare_texts(bids: list[int], blobs: list[bytes]) -> list[bytes]:
@@ -125,7 +161,7 @@ class Packet:
     """The texts of one packet, and what replies have told of them so far."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, ranges: list[int]) -> None:
-        self.data, self.offsets, self.width, self.ranges = data, offsets, width, ranges
+        self.data, self.offsets, self.ranges = data, offsets, ranges
         self.long = np.flatnonzero(np.diff(offsets) >= width)
 
     # whole texts
@@ -155,13 +191,23 @@ class Packet:
         return self.long[first & stands[inverse]], self.long[copied[inverse]] if len(self.long) else self.long
 
     # strings
-    def starts(self, texts: np.ndarray) -> np.ndarray:
+    def starts(self, texts: np.ndarray, width: int) -> np.ndarray:
         """Mask of the places where a string of full width starts in one of the texts."""
+        texts = texts[self.offsets[texts + 1] - self.offsets[texts] >= width]
         edge = np.zeros(len(self.data) + 1, np.int8)
         np.add.at(edge, self.offsets[texts], 1)
-        np.add.at(edge, self.offsets[texts + 1] - self.width + 1, -1)
+        np.add.at(edge, self.offsets[texts + 1] - width + 1, -1)
         return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
+    def wider(self, repeated: np.ndarray, texts: np.ndarray, narrow: int, width: int) -> np.ndarray:
+        """The starts of the wider width all of whose narrower strings repeat."""
+        upto = np.zeros(len(repeated) + 1, np.int64)
+        np.cumsum(repeated, out=upto[1:])
+        place = np.flatnonzero(self.starts(texts, width) & repeated)
+        out = np.zeros(len(repeated), bool)
+        out[place[upto[place + width - narrow + 1] - upto[place] == width - narrow + 1]] = True
+        return out
+
     def sample(self, candidates: np.ndarray, v: int) -> np.ndarray:
         """The sampled places p with a candidate start in (p - v, p]."""
         n = len(self.data)
@@ -190,28 +236,36 @@ def _inside(p: Packet, place: np.ndarray, size: int) -> np.ndarray:
     return place[p.offsets[np.searchsorted(p.offsets, place, "right")] - place >= size]
 
 
-def advance(p: Packet, replies: dict[int, dict[int, bytes]], level: int, levels: list[tuple[int, int]]) -> tuple[Names | None, np.ndarray, np.ndarray]:
-    """(names of the level, the candidate starts before it, the texts with copies), from the replies below it."""
+def advance(p: Packet, replies: dict[int, dict[int, bytes]], level: int, levels: list[tuple[int, int, int]]) -> tuple[Names | None, list[np.ndarray], np.ndarray]:
+    """(names of the level, the repeated starts of each width that is done, the texts with copies), from the replies below it."""
     stand, copied = p.texts(replies.get(0, {}))
-    candidates = p.starts(stand)
-    h = None
-    for k, (v, size) in enumerate(levels, 1):
-        place = _inside(p, p.sample(candidates, v), p.width - v + 1)
+    candidates = p.starts(stand, levels[0][0])
+    h = h2 = None
+    done: list[np.ndarray] = []
+    for k, (width, v, _) in enumerate(levels, 1):
+        if k > 1 and width != levels[k - 2][0]:
+            candidates = p.wider(candidates, stand, levels[k - 2][0], width)
+        place = _inside(p, p.sample(candidates, v), width - v + 1)
         if h is None and len(place):
             h = prefix_hash(p.data)
-        names = Names(window_hash(h, place, place + (p.width - v + 1)) if len(place) else np.zeros(0, U64), p.ranges[k], size)
+        if v == 1 and h2 is None and len(place):
+            h2 = prefix_hash(p.data, POWERS_2)
+        stop, none = place + (width - v + 1), np.zeros(0, U64)
+        names = Names(window_hash(h, place, stop) if len(place) else none, p.ranges[k], None if v > 1 else window_hash(h2, place, stop, POWERS_2) if len(place) else none)
         if k == level:
-            return names, candidates, copied
+            return names, done, copied
         candidates = p.narrow(candidates, place[names.repeated(replies.get(k, {}))], v)
-    return None, candidates, copied
+        if v == 1:
+            done.append(candidates)
+    return None, done, copied
 
 
-def _result(p: Packet, repeated: np.ndarray, copied: np.ndarray) -> Iterator[tuple[int, int, int, str, bytes, str]]:
+def _result(p: Packet, repeated: np.ndarray, copied: np.ndarray, width: int) -> Iterator[tuple[int, int, int, str, bytes, str]]:
     """n_bytes, n_removed, n_spans, kept_sha256, kept and kept_text of each text of the packet.
 
     kept_text leaves out the remains of characters that a removed span cuts through.
     """
-    whole = set(copied.tolist())
+    whole = set(copied[p.offsets[copied + 1] - p.offsets[copied] >= width].tolist())
     has = np.zeros(len(p.data) + 1, np.int32)
     np.cumsum(repeated, dtype=np.int32, out=has[1:])
     for i, (a, b) in enumerate(zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True)):
@@ -225,7 +279,7 @@ def _result(p: Packet, repeated: np.ndarray, copied: np.ndarray) -> Iterator[tup
             start = np.flatnonzero(repeated[a:b])
             edge = np.zeros(n + 1, np.int32)
             edge[start] += 1
-            edge[start + p.width] -= 1
+            edge[start + width] -= 1
             gone = np.cumsum(edge[:-1]) > 0
             turns = np.flatnonzero(np.diff(gone, prepend=True, append=True)).tolist()
             parts = [p.data[a + i : a + j].tobytes() for i, j in zip(turns[::2], turns[1::2], strict=True)]
@@ -233,20 +287,31 @@ def _result(p: Packet, repeated: np.ndarray, copied: np.ndarray) -> Iterator[tup
             yield n, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept, "".join(x.decode("utf-8", "ignore") for x in parts)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep: tuple[str, ...] = ("kept",), packet_bytes: int = PACKET, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The columns of df but `text`, and n_bytes, n_removed, n_spans, kept_sha256 and those of `keep`: kept (bytes), kept_text."""
+def remove_repeats(
+    df: DataFrame, text: str = "text", width: int = WIDTH, keep: tuple[str, ...] = ("kept",), packet_bytes: int | None = None, range_bytes: int | None = None,
+    passage: int | None = None,
+) -> DataFrame:
+    """The columns of df but `text`, and n_bytes, n_removed, n_spans, kept_sha256 and those of `keep`: kept (bytes), kept_text.
+
+    With `passage`, a narrower width, also n_passage_bytes and passage_text: what goes and what stays at that width.
+    """
+    if passage is not None and not 0 < passage < width:
+        raise ValueError("passage is a width narrower than the other")
     spark = df.sparkSession
     bounded_batches(spark)
-    rest = [f for f in df.schema if f.name != text and f.name not in RESULTS]
+    added = (*RESULTS, "n_passage_bytes", "passage_text") if passage else RESULTS
+    rest = [f for f in df.schema if f.name != text and f.name not in added]
     body = df.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{f.name}`") for f in rest])
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    levels = moduli(width)
-    buckets = max(4, min(20_000, total // (24 << 20)))
-    ranges = [max(1, int(total * share // range_bytes)) for share in (0.01, *(len(COVERS[v]) / v * size * (1.0 if k == 0 else 0.3) for k, (v, size) in enumerate(levels)))]
+    levels = moduli((passage, width) if passage else (width,))
+    least = levels[0][0]
+    packet_bytes, range_bytes = packet_bytes or packet_size(total), range_bytes or packet_size(total)
+    buckets = max(4, min(100_000, total // (24 << 20)))
+    ranges = [max(1, int(total * share // range_bytes)) for share in (0.01, *(len(COVERS[v]) / v * size * (1.0 if k == 0 else 0.3) for k, (_, v, size) in enumerate(levels)))]
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in gathered(batches, packet_bytes):
             data, offsets = text_buffer(b.column(0))
             others = b.select(b.schema.names[1:]) if b.num_columns > 1 else None
             for i, j in spans(offsets, packet_bytes):
@@ -283,7 +348,7 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep:
         replies: dict[int, dict[int, bytes]] = {}
         for r in row["replies"] or []:
             replies.setdefault(r["level"], {})[r["rng"]] = r["mask"]
-        return Packet(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], np.int64), width, ranges), replies
+        return Packet(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], np.int64), least, ranges), replies
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -304,7 +369,7 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep:
     def answering(level: int):
         def answer(group: pa.Table) -> pa.Table:
             bids, blobs = group.column("bid").to_pylist(), group.column("names").to_pylist()
-            masks = compare_texts(bids, blobs) if level == 0 else compare(blobs, levels[level - 1][1])
+            masks = compare_texts(bids, blobs) if level == 0 else compare(blobs, levels[level - 1][2])
             return pa.table([group.column("bid"), pa.array([level] * len(bids), pa.int32()), group.column("rng"), pa.array(masks, pa.binary())], names=["bid", "level", "rng", "mask"])
 
         return answer
@@ -315,14 +380,17 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, keep:
         answers.append(told)
 
     arrow = df.limit(0).select(*[F.col(f"`{f.name}`") for f in rest]).toArrow().schema if rest else pa.schema([])
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
-    names = [n for n in RESULTS if n in keep or n not in ("kept", "kept_text")]
+    kinds = {n: pa.int64() if n.startswith("n_") else pa.binary() if n == "kept" else pa.string() for n in added}
+    names = [n for n in added if n in keep or n not in ("kept", "kept_text")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             p, replies = read(row)
             _, repeated, copied = advance(p, replies, 0, levels)
-            columns = dict(zip(RESULTS, zip(*_result(p, repeated, copied), strict=True), strict=True))
+            columns = dict(zip(RESULTS, zip(*_result(p, repeated[-1], copied, width), strict=True), strict=True))
+            if passage:
+                short = list(zip(*_result(p, repeated[0], copied, passage), strict=True))
+                columns |= {"n_passage_bytes": short[1], "passage_text": short[5]}
             others = pa.ipc.open_stream(row["rest"]).read_next_batch().columns if row["rest"] else []
             yield pa.RecordBatch.from_arrays([*others, *(pa.array(columns[n], kinds[n]) for n in names)], [*arrow.names, *names])
 
