@@ -59,8 +59,9 @@ def op7_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns at 400 bytes; passage_text and n_passage_bytes for passages of over fifty words."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return repeats.remove_repeats(docs, keep=())
+    return repeats.remove_repeats(docs, keep=("kept_text",), passage=repeats.PASSAGE)
 
 
 QUERIES = {
