@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur.checkpoints import reused, settled
 from larkspur.functions import text as T, vectors as V
 from larkspur.operators import bm25, fusion, knn as K
 from larkspur.session import spread
@@ -175,20 +176,19 @@ def bigrams(spark, sf_dir):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_SIMPLE}) AS term FROM documents) GROUP BY term")
 def term_df(spark, sf_dir):
-    index = bm25.build(table(spark, sf_dir, "documents"))
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"SELECT count(*) AS n, sum(dl)::BIGINT AS total, round(avg(dl), 6) AS avg FROM (SELECT len({_SIMPLE}) AS dl FROM documents)")
 def corpus_stats(spark, sf_dir):
-    return bm25.build(table(spark, sf_dir, "documents")).stats.select("n", "total", F.round("avg", 6).alias("avg"))
+    return _index(spark, sf_dir).stats.select("n", "total", F.round("avg", 6).alias("avg"))
 
 
 @query(f"""SELECT code, count(*) AS docs, round(CASE WHEN code = 0 THEN 1.0 ELSE pow(2.0, code / 8.0) END, 6) AS decoded
 FROM (SELECT CASE WHEN dl = 0 THEN 0 ELSE least(greatest(floor(8 * log2(dl::DOUBLE) + 0.5), 0), 255) END::INT AS code FROM (SELECT len({_SIMPLE}) AS dl FROM documents)) GROUP BY code""")
 def fieldnorms(spark, sf_dir):
-    docs = bm25.build(table(spark, sf_dir, "documents")).docs
-    return docs.groupBy(bm25.fieldnorm_code(F.col("dl")).alias("code")).agg(F.count("*").alias("docs")).select("code", "docs", F.round(bm25.fieldnorm_length(F.col("code")), 6).alias("decoded"))
+    docs = _index(spark, sf_dir).docs
+    return docs.groupBy(bm25.fieldnorm_code(F.col("dl")).alias("code")).agg(F.sum("rows").alias("docs")).select("code", "docs", F.round(bm25.fieldnorm_length(F.col("code")), 6).alias("decoded"))
 
 
 # ---------------------------------------------------------------- BM25
@@ -208,15 +208,18 @@ def _top_sql(norm: str, grams: bool = False) -> str:
     return f"WITH {_bm25_cte(norm, grams)} SELECT qid, id, s, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY -s, id)::INT AS rank FROM bm) WHERE rank <= {TOP}"
 
 
-def _bm25(spark, sf_dir, norm: str, grams: bool = False) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
-    terms = bm25.query_terms(q, bigrams=grams)
-    index = bm25.build(table(spark, sf_dir, "documents"), bigrams=grams, only=terms)
-    return bm25.scores(index, terms, norm)
+def _index(spark, sf_dir, grams: bool = False) -> bm25.Index:
+    """The index of all documents, built once in an application while the table's files stay the same."""
+    docs = table(spark, sf_dir, "documents")
+    return reused(docs, ("bm25", sf_dir, grams), lambda: bm25.build(docs, bigrams=grams))
 
 
-def _bm25_top(spark, sf_dir, norm, grams=False):
-    return fusion.top(_bm25(spark, sf_dir, norm, grams), TOP, -F.col("s"))
+def _terms(spark, sf_dir, grams: bool = False) -> DataFrame:
+    return bm25.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext")), bigrams=grams)
+
+
+def _bm25_top(spark, sf_dir, norm, grams=False, k=TOP):
+    return bm25.best(_index(spark, sf_dir, grams), _terms(spark, sf_dir, grams), k, norm)
 
 
 @query(_top_sql("exact"))
@@ -238,7 +241,7 @@ def bm25_bigram(spark, sf_dir):
 def bm25_candidates(spark, sf_dir):
     """Scores of given documents only; statistics stay those of all."""
     given = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"))
-    return _bm25(spark, sf_dir, "quantized").join(given, "id", "left_semi").where("s > 0").select("qid", "id", "s")
+    return bm25.scores(_index(spark, sf_dir), _terms(spark, sf_dir), "quantized", given=given).where("s > 0").select("qid", "id", "s")
 
 
 # ---------------------------------------------------------------- hybrid
@@ -264,10 +267,12 @@ fu AS (SELECT qid, id, round(sum(x), 6) + 0.0 AS f FROM (SELECT qid, id, alpha *
 
 def fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """(qid, id, f): both lists of 2k, the sparse one back-filled, scaled and summed."""
-    dense = K.knn(table(spark, sf_dir, "embeddings"), _dense_queries(spark, sf_dir), 2 * k, "cosine").select("qid", "id", "d")
-    every = _bm25(spark, sf_dir, "quantized")
-    sparse = fusion.back_fill(fusion.top(every, 2 * k, -F.col("s")), every, dense)
-    return fusion.fuse(dense, sparse, _alpha(spark, sf_dir))
+    dense = settled(K.knn(table(spark, sf_dir, "embeddings"), _dense_queries(spark, sf_dir), 2 * k, "cosine").select("qid", "id", "d"), "dense")
+    sparse = settled(_bm25_top(spark, sf_dir, "quantized", k=2 * k).select("qid", "id", "s"), "sparse")
+    # only documents that the dense side found and the sparse list lacks are scored for the sake of filling up
+    lacking = settled(dense.join(sparse, ["qid", "id"], "left_anti").select("qid", "id"), "lacking")
+    filled = bm25.scores(_index(spark, sf_dir), _terms(spark, sf_dir), "quantized", given=lacking.select("id"))
+    return fusion.fuse(dense, fusion.back_fill(sparse, filled, lacking), _alpha(spark, sf_dir))
 
 
 @query(f"WITH {_HYBRID} SELECT qid, id, f FROM fu")

@@ -49,10 +49,16 @@ class Search:
         """Forget the index; take other points if given."""
         self.index, self.points = None, points if points is not None else self.points
 
-    def _sparse(self, queries: DataFrame) -> DataFrame:
+    def _sparse(self, queries: DataFrame, k: int, dense: DataFrame, keep: DataFrame | None) -> DataFrame:
+        """The k best of each query (among `keep`), and the scores of dense results that are not among them."""
         if self.index is None:
             self.index = bm25.build(self.points, "id", "text", self.tokenizer, self.bigrams)
-        return bm25.scores(self.index, bm25.query_terms(queries, self.tokenizer, self.bigrams), self.length_norm)
+        terms = bm25.query_terms(queries, self.tokenizer, self.bigrams)
+        if keep is None:
+            top = bm25.best(self.index, terms, k, self.length_norm)
+        else:
+            top = fusion.top(bm25.scores(self.index, terms, self.length_norm, given=keep), k, -F.col("s"))
+        return fusion.back_fill(top, bm25.scores(self.index, terms, self.length_norm, given=dense), dense)
 
     def _dense(self, vectors: dict[int, Sequence[float]], k: int) -> DataFrame:
         for v in vectors.values():
@@ -77,11 +83,10 @@ class Search:
         queries = self.spark.createDataFrame(list(texts.items()), "qid long, qtext string")
         weight = queries.select("qid", F.lit(alpha).cast("double").alias("alpha") if alpha is not None else T.fusion_alpha(F.col("qtext")).alias("alpha"))
         keep = self.points.where(fusion.has_tags(F.col("tags"), wanted)).select("id") if wanted else None
-        dense, every = self._dense({i: self.embed(t) for i, t in texts.items()}, overfetch * k), self._sparse(queries)
-        if prefilter and keep is not None:
-            inner = Search(self.points.join(keep, "id", "left_semi"), None, self.dim, self.metric)
-            dense, every = inner._dense({i: self.embed(t) for i, t in texts.items()}, overfetch * k), every.join(keep, "id", "left_semi")
-        sparse = fusion.back_fill(fusion.top(every, overfetch * k, -F.col("s")), every, dense)
+        vectors = {i: self.embed(t) for i, t in texts.items()}
+        inner = Search(self.points.join(keep, "id", "left_semi"), None, self.dim, self.metric) if prefilter and keep is not None else self
+        dense = inner._dense(vectors, overfetch * k)
+        sparse = self._sparse(queries, overfetch * k, dense, keep if prefilter else None)
         best = fusion.top(fusion.fuse(dense, sparse, weight), k if keep is None else 10 * k, -F.col("f")).drop("rank")
         if keep is not None:
             best = fusion.top(best.join(keep, "id", "left_semi"), k, -F.col("f")).drop("rank")

@@ -138,12 +138,36 @@ def test_bm25_ranks(spark, norm):
     got = bm25.scores(bm25.build(docs), terms, norm).collect()
     by = {(r.qid, r.id): r.s for r in got}
     assert by[1, 3] > by[1, 1] and (1, 2) not in by and not any(k[0] in (2, 3) for k in by)
-    once = {(r.qid, r.id): r.s for r in bm25.scores(bm25.build(docs, only=terms), bm25.query_terms(q.where("qid = 4").selectExpr("qid", "'fox' AS qtext")), norm).collect()}
+    once = {(r.qid, r.id): r.s for r in bm25.scores(bm25.build(docs), bm25.query_terms(q.where("qid = 4").selectExpr("qid", "'fox' AS qtext")), norm).collect()}
     assert by[4, 1] == pytest.approx(2 * once[4, 1], abs=2e-6)
     with pytest.raises(ValueError):
         bm25.scores(bm25.build(docs), terms, "other")
 
 
+def test_best_is_the_head_of_all_scores(spark, tmp_path, monkeypatch):
+    """For several blocks of queries, several groups of documents, ties, and an index read back."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)] + [(60, None), (61, "w1 w2"), (62, "w2 w1"), (3, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(9)] + [(9, "absent"), (10, None)], "qid long, qtext string")
+    terms = bm25.query_terms(q)
+    monkeypatch.setattr(bm25, "GROUP", 20)
+    index = bm25.build(docs)
+    assert index.stats.first()["n"] == len(rows) and index.stats.first()["total"] == sum(len((t or "").split()) for _, t in rows)
+    bm25.save(index, f"{tmp_path}/index")
+    again = bm25.load(spark, f"{tmp_path}/index")
+    want = sorted(map(tuple, fusion.top(bm25.scores(index, terms), 5, -F.col("s")).select("qid", "id", "s", "rank").collect()))
+    assert len(want) > 40
+    for it, block in ((index, 4), (again, 4096)):
+        assert sorted(map(tuple, bm25.best(it, terms, 5, block=block).select("qid", "id", "s", "rank").collect())) == want
+    given = spark.createDataFrame([(1,), (61,)], "id long")
+    assert {r.id for r in bm25.scores(again, terms, given=given).collect()} <= {1, 61}
+    assert bm25.best(index, terms.limit(0), 5).count() == 0 and bm25.best(bm25.build(docs.limit(0)), terms, 5).count() == 0
+
+
 def test_bigrams_boost(spark):
     docs = spark.createDataFrame([(1, "red green blue"), (2, "green x red y blue")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "red green")], "qid long, qtext string")
