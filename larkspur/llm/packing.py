@@ -1,11 +1,17 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Lengths are at most the capacity, so a histogram of lengths, which never has more than `capacity`
-entries, is all that planning needs, at any size of the corpus. For the longest length left, single,
-pair and triple sums of the available lengths are looked up under the gap it leaves, and combinations
-that fill it exactly are consumed as often as counts allow; what is left goes, longest first, to the
-open sequence with the smallest gap that takes it. The plan is a list of patterns with repeat counts;
-pieces take their places in it by their rank within their length.
+entries, is all that planning needs, at any size of the corpus. Single, pair and triple sums of the
+lengths are indexed. Under the gap that the longest length leaves, combinations that fill it exactly
+are consumed as often as counts allow; what is left goes, longest first, to the open sequence with the
+smallest gap that takes it. The plan is a list of patterns with repeat counts; pieces take their places
+in it by their rank within their length.
+
+Defined results: null and empty texts are one piece, the end id; a very long text is cut into pieces
+as `cuts` says; repeated rows are separate pieces; pieces of equal length take their places in the
+order of their rows, which decides all ties; an empty table gives an empty result; other columns of a
+table of documents are ignored, whatever their names, and `pack` keeps those of a table of pieces but
+refuses one that has sequence_id or offset already.
 """
 
 from __future__ import annotations
@@ -108,63 +114,87 @@ def tokenized_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", cap
 
 
 # ---------------------------------------------------------------- the plan
-def _exact(counts: np.ndarray, longest: int, gap: int) -> list[int] | None:
-    """At most three available lengths that add up to gap, as few as possible; counts already lacks one `longest`."""
-    if gap < len(counts) and counts[gap] > 0:
-        return [gap]
-    have = np.flatnonzero(counts[: gap + 1] > 0)
-    have = have[have > 0]
-    if len(have) == 0:
+class Complements:
+    """An index of the single, pair and triple sums of the lengths in `counts`, read under what is left of them.
+
+    counts only falls, so an entry one of whose lengths is used up is gone for good: each sum has a
+    cursor, and what lies before it is not looked at again. A triple sum is kept as the lengths that
+    leave a pair sum, the pairs being those of that sum.
+    """
+
+    def __init__(self, counts: np.ndarray, balanced: bool = True) -> None:
+        self.counts = counts
+        have = np.flatnonzero(counts)
+        i, j = np.triu_indices(len(have))
+        low, total = have[i], have[i] + have[j]
+        keep = total < len(counts)
+        low, total = low[keep], total[keep]
+        order = np.lexsort((-low if balanced else low, total))
+        self.low = low[order].tolist()
+        bounds = np.searchsorted(total[order], np.arange(len(counts) + 1)).tolist()
+        self.pair_at, self.pair_end = bounds[:-1], bounds[1:]
+        self.have, self.triple_at = have[::-1].tolist(), [0] * len(counts)
+
+    def _gone(self, *lengths: int) -> bool:
+        return any(self.counts[n] < lengths.count(n) for n in lengths)
+
+    def _pair(self, total: int, *held: int) -> list[int] | None:
+        if total < 2:
+            return None
+        i, end = self.pair_at[total], self.pair_end[total]
+        while i < end and self._gone(self.low[i], total - self.low[i]):
+            i += 1
+        self.pair_at[total] = i
+        for k in range(i, end):
+            pair = [total - self.low[k], self.low[k]]
+            if not self._gone(*pair, *held):
+                return pair
+        return None
+
+    def filling(self, gap: int, anchor: int) -> list[int] | None:
+        """At most three lengths, as few as can be, that add up to gap and are there besides the anchor."""
+        if gap < 1:
+            return None
+        if not self._gone(gap, anchor):
+            return [gap]
+        if (pair := self._pair(gap, anchor)) is not None:
+            return pair
+        k, stuck = self.triple_at[gap], False
+        while k < len(self.have):
+            a = self.have[k]
+            if a < gap - 1 and self.counts[a] > 0:
+                if not self._gone(a, anchor) and (pair := self._pair(gap - a, a, anchor)) is not None:
+                    return [a, *pair]
+                stuck |= self.pair_at[gap - a] < self.pair_end[gap - a]
+            if not stuck:
+                self.triple_at[gap] = k + 1
+            k += 1
         return None
-    rest = gap - have
-    ok = (rest >= have) & (counts[np.maximum(rest, 0)] > 0) & ((rest != have) | (counts[have] > 1))
-    if ok.any():
-        small = int(have[ok][0])
-        return [gap - small, small]
-    # triples: the longest part first, then the pair that complements it
-    for a in have[::-1]:
-        a = int(a)
-        left = gap - a
-        low = have[(have <= a) & (2 * have <= left)]
-        other = left - low
-        good = (other <= a) & (other > 0) & (counts[np.maximum(other, 0)] > 0)
-        need_b = 1 + (low == other)
-        need_a = 1 + (low == a) + (other == a)
-        good &= (counts[low] >= need_b + ((low == a) & (low != other))) & (counts[a] >= need_a) & (counts[np.maximum(other, 0)] >= need_b + ((other == a) & (low != other)))
-        if good.any():
-            b = int(low[good][0])
-            return [a, left - b, b]
-    return None
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """[(lengths of one sequence, longest first), how many such sequences]."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
+def _exact(counts: np.ndarray, balanced: bool) -> list[tuple[list[int], int]]:
+    """Full sequences, each the longest length left and an exact complement of it; counts keeps what has none."""
+    capacity = len(counts) - 1
+    index = Complements(counts, balanced)
     patterns: list[tuple[list[int], int]] = []
-    residual = np.zeros(capacity + 1, np.int64)
     for longest in range(capacity, 0, -1):
         while counts[longest] > 0:
-            if longest == capacity:
-                patterns.append(([longest], int(counts[longest])))
-                counts[longest] = 0
-                break
-            counts[longest] -= 1
-            parts = _exact(counts, longest, capacity - longest)
-            counts[longest] += 1
+            parts = [] if longest == capacity else index.filling(capacity - longest, longest)
             if parts is None:
-                residual[longest] += counts[longest]
-                counts[longest] = 0
-                break
+                break  # it stays, and may fill the gap of a shorter one
             lengths, uses = np.unique([longest, *parts], return_counts=True)
             times = int((counts[lengths] // uses).min())
             counts[lengths] -= uses * times
             patterns.append((sorted([longest, *parts], reverse=True), times))
-    # best fit, longest first, over groups of like sequences by their gap
+    return patterns
+
+
+def _best_fit(counts: np.ndarray) -> list[tuple[list[int], int]]:
+    """Longest first, each into the open sequence with the smallest gap that takes it; like sequences are one group."""
+    capacity = len(counts) - 1
     open_by_gap: list[list[tuple[list[int], int]]] = [[] for _ in range(capacity + 1)]
     for length in range(capacity, 0, -1):
-        left = int(residual[length])
+        left = int(counts[length])
         gap = length
         while left:
             while gap <= capacity and not open_by_gap[gap]:
@@ -184,7 +214,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
             open_by_gap[gap - length].append(([*own, length], used))
             left -= used
             gap = length
-    return patterns + [g for groups in open_by_gap for g in groups]
+    return [g for groups in open_by_gap for g in groups]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """[(lengths of one sequence, longest first), how many such sequences].
+
+    Exact complements, then best fit of the residuals. Consuming exact fits can leave residuals that
+    pack badly, so where the plan is longer than the sum of lengths demands, it is made again with the
+    complements taken in the other order, then with all lengths as residuals; the shortest plan stands.
+    """
+    whole = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        whole[length] = n
+    least = -(-int((whole * np.arange(capacity + 1)).sum()) // capacity)
+    best: list[tuple[list[int], int]] | None = None
+    for balanced in (True, False, None):
+        counts = whole.copy()
+        made = ([] if balanced is None else _exact(counts, balanced)) + _best_fit(counts)
+        if best is None or sum(t for _, t in made) < sum(t for _, t in best):
+            best = made
+        if sum(t for _, t in best) <= least:
+            break
+    return best or []
 
 
 def places(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -210,6 +262,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_block: int = 200_
     Ranks within a length are counted in blocks of rows, so no length is brought into one task.
     """
     spark: SparkSession = pieces.sparkSession
+    if clash := {"sequence_id", "offset", "_block", "_own", "_rank"} & set(pieces.columns):
+        raise ValueError(f"pieces has columns {sorted(clash)} already")
     totals = pieces.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in totals.collect()}  # at most `capacity` rows
     shared = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
