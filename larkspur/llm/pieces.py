@@ -1,21 +1,28 @@
 """SentencePiece-style encoding by sampled segmentation, and lossless decoding.
 
-A text is spelt with one leading and all other spaces as U+2581 and cut into units (a word with the
-space before it, a run of other symbols, single white space), each of which has a lattice of vocabulary
-pieces; characters outside the vocabulary, and any literal U+2581, are spelt as byte pieces. Filtering
-forward gives every lattice place the total weight of the ways to it; sampling backward from the end
-draws each piece in proportion to the weight of the ways through it, so whole segmentations are drawn
-from their exact distribution. Weights are exp(alpha * log-probability); for a vocabulary that only
-ranks its merges, the log-probability is that of Zipf's law at the piece's rank.
+A text is spelt with one leading and all other spaces as U+2581; its lattice has an edge for every
+vocabulary piece at every place. Characters outside the vocabulary, and any literal U+2581, are spelt
+as byte pieces. Filtering forward gives every lattice place the total weight of the ways to it;
+sampling backward from the end draws each piece in proportion to the weight of the ways through it, so
+whole segmentations are drawn from their exact distribution. Weights are exp(alpha * log-probability);
+for a vocabulary that only ranks its merges, the log-probability is that of Zipf's law at the piece's
+rank.
+
+The lattice falls apart, without loss, wherever no piece can lie across: where the vocabulary has no
+piece with these two characters side by side. The parts between (units) are what is filtered, each
+distinct one once; the lattices of units are kept from batch to batch within a bound.
 
 The random numbers are a hash of the row's key and the place in the text, so a row is segmented alike
-in any partitioning, and on any retry. Null texts are empty and have no pieces; equal texts under
-different keys may be segmented differently but decode to the same text; a null key counts as 0.
+in any partitioning, and on any retry.
+
+Defined results: null and empty texts have no pieces; a very long text is handled whole, alone in its
+run; equal texts under different keys may be segmented differently but decode to the same text, equal
+keys and texts are segmented alike; a null key counts as 0; repeated rows stay; an empty table gives an
+empty result; other columns of the table are ignored, whatever their names. There are no ties.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +33,8 @@ from pyspark.sql import DataFrame
 from .common import POWERS, U64, bounded_batches, mix, window_hash
 
 SPACE = "▁"
-UNIT = re.compile(r" ?[^\W_]+|\s|[^\w\s]+|_+")
+#: Edges of lattices that a worker keeps.
+MOST_EDGES = 3_000_000
 
 
 class Lattices:
@@ -50,6 +58,12 @@ class Lattices:
         self.byte_logp = float(logp.min()) - 2.0
         weight = dict(zip(self.names.values(), logp.tolist(), strict=True))
         number = {n: i for i, n in self.names.items()}
+        # which characters stand side by side in a piece, by a hash: where two do not, no piece lies across
+        self.joined = np.zeros(1 << 22, bool)
+        text = np.frombuffer("".join(n + "\0" for n in number).encode("utf-32-le"), "<u4")
+        inside = (text[:-1] != 0) & (text[1:] != 0)
+        self.joined[self._pair(text[:-1][inside], text[1:][inside])] = True
+        self.forget()
         # by length: sorted hashes of all prefixes of pieces, with the piece's id or -1
         prefixes: list[set[str]] = []
         for name in number:
@@ -67,6 +81,54 @@ class Lattices:
             ids = np.array([number.get(w, -1) for w in ordered], dtype=np.int64)
             self.tables.append((h[order], ids[order], np.array([weight.get(w, 0.0) for w in ordered])[order]))
 
+    def forget(self) -> None:
+        """Drop the lattices that are kept."""
+        self.known: dict[str, int] = {}
+        self.last = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
+        self.upto, self.origin, self.pieces = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.astype(np.uint32) * np.uint32(0x85EBCA6B))) >> np.uint32(10)
+
+    @staticmethod
+    def spelt(text: str) -> np.ndarray:
+        """Code points, spaces as U+2581 and literal U+2581 as 0."""
+        raw = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        return np.where(raw == 32, ord(SPACE), np.where(raw == ord(SPACE), 0, raw)).astype(np.uint32)
+
+    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all texts one after another, and how many each text has."""
+        lengths = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
+        whole = "".join(" " + t for t in texts if t)
+        if not whole:
+            return [], np.zeros(len(texts), np.int64)
+        code = self.spelt(whole)
+        cut = np.ones(len(code) + 1, bool)
+        cut[1:-1] = ~self.joined[self._pair(code[:-1], code[1:])]
+        ends = np.cumsum(lengths)
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        counts = np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+        places = at.tolist()
+        return [whole[i:j] for i, j in zip(places[:-1], places[1:], strict=True)], counts
+
+    def keep(self, units: list[str]) -> None:
+        """Build the lattices of units that are not kept yet."""
+        fresh = [u for u in dict.fromkeys(units) if u not in self.known]
+        if len(self.upto) > MOST_EDGES:
+            self.forget()
+            fresh = list(dict.fromkeys(units))
+        if not fresh:
+            return
+        first, upto, origin, piece, last = self.build(fresh)
+        nodes, edges = len(self.first) - 1, len(self.upto)
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.last = np.concatenate([self.last, last + nodes])
+        self.first = np.concatenate([self.first, first[1:] + edges])
+        self.upto, self.origin, self.pieces = np.concatenate([self.upto, upto]), np.concatenate([self.origin, origin + nodes]), np.concatenate([self.pieces, piece])
+
     @staticmethod
     def _hash(code: np.ndarray) -> np.ndarray:
         up, _ = POWERS.grow(len(code) + 1)
@@ -82,7 +144,7 @@ class Lattices:
         """
         size = np.fromiter(map(len, units), np.int64, len(units))
         raw = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
-        code = np.where(raw == 32, ord(SPACE), np.where(raw == ord(SPACE), 0, raw)).astype(np.uint32)
+        code = self.spelt("".join(units))
         owner = np.repeat(np.arange(len(units)), size)
         left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters to the unit's end
         h, alive = self._hash(code), np.arange(len(code))
@@ -130,22 +192,24 @@ class Lattices:
         order2 = np.lexsort((-share, t))
         o, t, share, pieces = o[order2], t[order2], share[order2], piece[order][order2]
         first = np.searchsorted(t, np.arange(nodes + 1))
-        upto = np.cumsum(share)
-        upto -= np.concatenate([[0.0], upto])[first[t]]
+        # summed up within each node alone, so that rounding does not depend on what else is in the batch
+        upto, at, end = share.copy(), first[:-1] + 1, first[1:]
+        while len(at):
+            more = at < end
+            at, end = at[more], end[more]
+            upto[at] += upto[at - 1]
+            at = at + 1
         upto[first[1:][first[1:] > first[:-1]] - 1] = 2.0  # the last edge of a node takes what is left
         return first, upto, o, pieces, head + size
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Backward sampling of all units of all texts at once; ids of each text."""
-        found = [UNIT.findall(" " + t) if t else [] for t in texts]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        number: dict[str, int] = {}
-        put = number.setdefault
-        unit = np.array([put(u, len(number)) for f in found for u in f], dtype=np.int64)
-        if len(unit) == 0:
+        units, counts = self.units(texts)
+        if not units:
             return [np.zeros(0, np.int32) for _ in texts]
-        del found
-        first, upto, origin, pieces, last = self.build(list(number))
+        self.keep(units)
+        unit = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        first, upto, origin, pieces, last = self.first, self.upto, self.origin, self.pieces, self.last
         row = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
         state = mix(mix(seeds.astype(U64))[row] + place.astype(U64) * U64(0x9E3779B97F4A7C15))
