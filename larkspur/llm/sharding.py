@@ -2,23 +2,33 @@
 
 Documents with equal texts are linked (a star around the group's smallest row). Linked documents start
 in a shard by hash. In each round a centre first moves to the shard where most of its neighbours are,
-then the neighbours move to their centre's shard, both only as far as the quota of the shard they move
-to allows: a shard never holds more than its even share of the bytes. Documents without links cut no
-edge wherever they are, so they fill the shards up to even sizes at the end, along one running sum.
-
-Null texts count as empty (size one) and are linked with empty ones; repeated rows are separate,
-linked documents; extra columns are ignored; an empty table gives an empty result.
+then the neighbours move to their centre's shard, both only as far as the quotas allow: what comes into
+a shard is at most its room (its even share of the bytes less what it holds) and what leaves it in the
+same step, so shards exchange documents even where none has room. Rounds end when no link is cut, or
+when a round mends less than a thousandth of the links. Documents without links cut no edge wherever
+they are, so they fill the shards up to even sizes at the end, along one running sum.
+
+A group of many rows is spread over as many keys as its count asks for, in every join; counts and votes
+are combined before they are shuffled.
+
+Defined results: null texts count as empty (size one) and are linked with empty ones; a text of any
+length is one row of its size; repeated rows are separate, linked documents; of equally voted shards
+the smaller number wins, of rows in a block the earlier comes first; a group larger than a shard's share
+is split; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, remove
 
 SHARDS = 8
-SALTS = 16
+#: Rows of a group that are one key of a join, at least; groups of more are at most HEAVY_GROUPS.
+KEY_ROWS, HEAVY_GROUPS = 250_000, 10_000
 
 
 def _unit(*of: Column) -> Column:
@@ -40,27 +50,43 @@ def documents_to_nodes(df: DataFrame, key: str = "doc_id", text: str = "text") -
     )
 
 
-def _stars(nodes: DataFrame, shards: int) -> DataFrame:
-    """row, size, hub, salt and first shard of every node that is linked; groups are counted by (g, salt) first."""
-    salted = nodes.select("row", "size", "g", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"))
-    parts = salted.groupBy("g", "salt").agg(F.min("row").alias("low"), F.count("*").alias("n"))
-    hubs = parts.groupBy("g").agg(F.min("low").alias("hub"), F.sum("n").alias("n")).where("n > 1")
-    wanted = parts.select("g", "salt").join(hubs.select("g", "hub"), "g")
-    return salted.join(wanted, ["g", "salt"]).select("row", "size", "hub", "salt", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
+def _stars(nodes: DataFrame, shards: int, key_rows: int) -> DataFrame:
+    """row, size, hub, salts (keys of the group), salt (the row's) and first shard of every node that is linked."""
+    groups, _ = cut(nodes.groupBy("g").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1").select("g", "hub", F.ceil(F.col("n") / key_rows).cast("int").alias("salts")), "groups")
+    heavy = groups.where("salts > 1").select("g", "salts")  # at most HEAVY_GROUPS rows, which bounds the broadcast
+    salted = nodes.select("row", "size", "g").join(F.broadcast(heavy), "g", "left").select("row", "size", "g", F.pmod(F.hash("row"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    wanted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return salted.join(wanted.hint("merge"), ["g", "salt"]).select("row", "size", "hub", "salts", "salt", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
+
+
+def exchange(wishes: np.ndarray, squares: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """For each pair of shards the part of the bytes wishing to move from one to the other that may.
+
+    The greatest parts, one a target, for which no shard takes in more than its room and what leaves it.
+    Rows are let through by chance, so three standard deviations of both are left where not all may move.
+    """
+    np.fill_diagonal(wishes, 0)
+    part = np.ones(len(room))
+    for _ in range(1000):
+        moving = wishes * part
+        margin = 3 * np.sqrt((squares * part * (1 - part)).sum(0) + (squares * part * (1 - part)).sum(1))
+        allowed = np.maximum(room + moving.sum(1) - margin, 0)
+        want = wishes.sum(0)
+        new = np.minimum(part, np.where(want > 0, np.minimum(1, allowed / np.maximum(want, 1)), 1))
+        if np.abs(new - part).max() < 1e-6:
+            break
+        part = new
+    return part
 
 
-def _shares(moves: DataFrame, load: np.ndarray, share: float) -> list[float]:
-    """For each shard, the part of the bytes that wish to move there which its room allows."""
-    into, square = np.zeros(len(load)), np.zeros(len(load))
-    for r in moves.groupBy("wish").agg(F.sum("size").alias("b"), F.sum(F.col("size").cast("double") * F.col("size")).alias("q")).collect():  # at most one row a shard
-        into[r["wish"]], square[r["wish"]] = r["b"], r["q"]
-    room = np.maximum(share - load, 0)
-    out = []
-    for want, have, q in zip(into, room, square, strict=True):
-        # rows are let through by chance, so where not all fit, three standard deviations are left
-        p = min(1.0, have / want) if want else 0.0
-        out.append(p if p in (0.0, 1.0) else float(max(0.0, have - 3 * np.sqrt(p * q)) / want))
-    return out
+def _allowed(moves: DataFrame, load: np.ndarray, share: float) -> np.ndarray:
+    """exchange() of the wishes of a table, which it reads as at most one row a pair of shards."""
+    n = len(load)
+    wishes, squares = np.zeros((n, n)), np.zeros((n, n))
+    size = F.col("size").cast("double")
+    for r in moves.where("shard <> wish").groupBy("shard", "wish").agg(F.sum(size).alias("b"), F.sum(size * size).alias("q")).collect():
+        wishes[r["shard"], r["wish"]], squares[r["shard"], r["wish"]] = r["b"], r["q"]
+    return exchange(wishes, squares, np.maximum(share - load, 0))
 
 
 def _loads(members: DataFrame, shards: int) -> np.ndarray:
@@ -70,39 +96,43 @@ def _loads(members: DataFrame, shards: int) -> np.ndarray:
     return load
 
 
-def propagate(members: DataFrame, share: float, shards: int = SHARDS, rounds: int = 6) -> tuple[DataFrame, np.ndarray]:
-    """members with settled shards, as a table in the shared folder, and the shards' loads."""
-    spark = members.sparkSession
+def propagate(members: DataFrame, share: float, shards: int = SHARDS, least: float = 1e-3) -> tuple[DataFrame, np.ndarray]:
+    """members with settled shards, as a table in the shared folder, and the shards' loads.
+
+    least: the part of the links that a round must mend for another one to follow.
+    """
     now, path = cut(members, "labels")
     load = _loads(now, shards)
-    for r in range(rounds):
-        hubs = now.where("row = hub").select("hub", "size", "shard")
+    before = None
+    for r in count():
+        hubs = now.where("row = hub").select("hub", "size", "salts", "shard")
         votes = now.where("row <> hub").groupBy("hub", "shard").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("top"))
-        wishes, wish_path = cut(hubs.join(votes, "hub").select("hub", "size", "shard", (-F.col("top.s")).alias("wish")), "wishes")
-        allowed = _shares(wishes.where("shard <> wish"), load, share)
-        follow = _unit(F.col("hub"), F.lit(2 * r)) < _pick(F.col("wish"), allowed)
-        centres = wishes.select("hub", F.when(follow, F.col("wish")).otherwise(F.col("shard")).alias("wish"))
-        # every member meets its centre's label by (hub, salt), so no centre's members meet in one task; the planner
+        wishes, wish_path = cut(hubs.join(votes, "hub").select("hub", "size", "salts", "shard", (-F.col("top.s")).alias("wish")), "wishes")
+        part = _allowed(wishes, load, share)
+        follow = _unit(F.col("hub"), F.lit(2 * r)) < _pick(F.col("wish"), part.tolist())
+        centres = wishes.select("hub", "salts", F.when(follow, F.col("wish")).otherwise(F.col("shard")).alias("wish"))
+        # every member meets its centre's label by (hub, salt), so no large group meets in one task; the planner
         # does not see that rows were multiplied, hence the hint against a broadcast
-        spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        wishing, wishing_path = cut(now.join(spread.hint("merge"), ["hub", "salt"]), "wishing")
-        allowed = _shares(wishing.where("shard <> wish"), load, share)
-        go = (F.col("shard") != F.col("wish")) & (_unit(F.col("row"), F.lit(2 * r + 1)) < _pick(F.col("wish"), allowed))
-        new, new_path = cut(wishing.select("row", "size", "hub", "salt", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard")), "labels")
-        remove(spark, path, wish_path, wishing_path)
-        now, path = new, new_path
+        spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        wishing, wishing_path = cut(now.join(spread.hint("merge"), ["hub", "salt"]).select("row", "size", "hub", "salts", "salt", F.when(F.col("row") == F.col("hub"), F.col("wish")).otherwise(F.col("shard")).alias("shard"), "wish"), "wishing")
+        part = _allowed(wishing, _loads(wishing, shards), share)
+        go = (F.col("shard") != F.col("wish")) & (_unit(F.col("row"), F.lit(2 * r + 1)) < _pick(F.col("wish"), part.tolist()))
+        new, new_path = cut(wishing.select("row", "size", "hub", "salts", "salt", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard"), (go | (F.col("shard") == F.col("wish"))).alias("joined")), "labels")
+        state = new.agg(F.count("*").alias("n"), F.count_if(~F.col("joined")).alias("cut")).first()
+        remove(members.sparkSession, path, wish_path, wishing_path)
+        now, path = new.drop("joined"), new_path
         load = _loads(now, shards)
-        if not any(allowed):
-            break
-    return now, load
+        if state["cut"] == 0 or (before is not None and before - state["cut"] < least * state["n"]):
+            return now, load
+        before = state["cut"]
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = 6, rows_per_block: int = 200_000) -> DataFrame:
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rows_per_block: int = 200_000, key_rows: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless within a shard) and linked of each row."""
     nodes, _ = cut(documents_to_nodes(df, key, text), "nodes")
     total = nodes.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
     share = (total["b"] or 0) / shards
-    members, load = propagate(_stars(nodes, shards), share, shards, rounds)
+    members, load = propagate(_stars(nodes, shards, key_rows or max(KEY_ROWS, total["n"] // HEAVY_GROUPS)), share, shards)
     room = np.maximum(share - load, 0)
     fill = np.cumsum(room * ((total["b"] or 0) - load.sum()) / max(room.sum(), 1e-9))
     blocks = max(1, -(-total["n"] // rows_per_block))
