@@ -1,7 +1,11 @@
 """Media columns: Netpbm and BMP decoded to numpy, area-resized by integral images, kept as NPY tiles.
 
-A null image is treated as absent (all results null), an undecodable one sets `error`; repeated rows
-stay repeated; extra columns of the input are left out of the result, so their names cannot clash.
+Defined results: a null image is absent (all results null); an empty, cut off or otherwise bad one,
+and one with a sample above its maximum, sets `error` and nothing else, and never fails the job; a null
+text is an empty one, a block of padding; a long text is one tall image, resized a thousand rows at a
+time; repeated rows stay repeated, equal images and texts give equal values; an empty table gives an
+empty result; other columns of the table are left out, so their names cannot clash. There are no ties:
+equal neighbours of a difference hash give the bit 0.
 """
 
 from __future__ import annotations
@@ -44,10 +48,21 @@ def _header(data: bytes, n: int) -> tuple[list[int], int]:
     return out, i + 1
 
 
+def _scaled(samples: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to top as uint8 or, above 255, uint16 of the full range."""
+    if len(samples) and samples.max() > top:
+        raise ValueError("sample above the maximum")
+    kind, full = (np.uint8, 255) if top < 256 else (np.uint16, 65535)
+    if top == full:
+        return samples.astype(kind, copy=False)
+    return ((samples.astype(np.int64) * full + top // 2) // top).astype(kind)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6 as (height, width) or (height, width, 3); uint8, or uint16 for a maximum above 255.
 
-    Bitmaps (P1, P4) come back as 0 for black and 255 for white.
+    Samples are scaled from their maximum to that of the type; one above its maximum is an error. Bitmaps
+    (P1, P4) come back as 0 for black and 255 for white.
     """
     magic = data[:2]
     if magic not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
@@ -71,15 +86,16 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("short Netpbm raster")
         return np.where(digits == 49, 0, 255).astype(np.uint8).reshape(shape)
     if magic in (b"P2", b"P3"):
-        values = np.array(data[at - 1 :].split()[:n], dtype=np.int64)
-        if len(values) < n:
+        words = data[at - 1 :].split(maxsplit=n)[:n]
+        if len(words) < n:
             raise ValueError("short Netpbm raster")
-        return values.astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
+        if not all(w.isdigit() and len(w.lstrip(b"0")) <= 5 for w in words):
+            raise ValueError("bad Netpbm sample")
+        return _scaled(np.array([int(w) for w in words]), top).reshape(shape)
     kind = np.dtype(np.uint8 if top < 256 else ">u2")
     if len(data) - at < n * kind.itemsize:
         raise ValueError("short Netpbm raster")
-    raster = np.frombuffer(data, kind, n, at).reshape(shape)
-    return raster if top < 256 else raster.astype(np.uint16)
+    return _scaled(np.frombuffer(data, kind, n, at), top).reshape(shape)
 
 
 def encode_netpbm(image: np.ndarray) -> bytes:
@@ -91,11 +107,11 @@ def encode_netpbm(image: np.ndarray) -> bytes:
 
 # ---------------------------------------------------------------- BMP
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width[, 3]); a grey palette gives two axes."""
+    """BMP of 1, 4, 8, 16, 24 or 32 bits, packed at most by colour masks, as (height, width[, 3]); a grey palette gives two axes."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not BMP")
     at, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or w <= 0 or h == 0 or bits not in (1, 4, 8, 24, 32):
+    if packed not in (0, 3) or w <= 0 or h == 0 or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)):
         raise ValueError("BMP kind not supported")
     rows, stride = abs(h), (w * bits + 31) // 32 * 4
     if len(data) - at < rows * stride:
@@ -103,9 +119,18 @@ def decode_bmp(data: bytes) -> np.ndarray:
     raster = np.frombuffer(data, np.uint8, rows * stride, at).reshape(rows, stride)
     if h > 0:
         raster = raster[::-1]
+    if packed == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        if any(m == 0 or (m // (m & -m)) & (m // (m & -m) + 1) for m in masks):
+            raise ValueError("bad BMP masks")
+        pixels = np.ascontiguousarray(raster[:, : w * bits // 8]).view("<u2" if bits == 16 else "<u4")
+        channel = lambda m: (pixels & m) // (m & -m) * 255.0 / (m // (m & -m))
+        return np.rint(np.stack([channel(m) for m in masks], axis=2)).astype(np.uint8)
     if bits >= 24:
         return np.ascontiguousarray(raster[:, : w * bits // 8].reshape(rows, w, bits // 8)[:, :, 2::-1])
     n = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if n > 1 << bits:
+        raise ValueError("BMP palette too large")
     palette = np.frombuffer(data, np.uint8, n * 4, 14 + head).reshape(n, 4)[:, 2::-1]
     if bits == 8:
         index = raster[:, :w]
@@ -174,15 +199,15 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def difference_hash(image: np.ndarray, side: int = 8) -> str:
-    """Signs of the differences between neighbours of a side x (side + 1) tile, as hex."""
+    """Signs of the differences between neighbours of a side x (side + 1) tile, as hex; equal neighbours give 0."""
     tile = np.round(grey(area_resize(image, side, side + 1)), 6)
     return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
 
 
 def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
-    """The image resized to side x side, as the bytes of an NPY file of uint8."""
+    """The image resized to side x side, as the bytes of an NPY file of uint8; 16-bit samples are brought to 8 bits."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(area_resize(image, side, side) / (257 if image.dtype == np.uint16 else 1)), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -201,7 +226,7 @@ def media_features(df: DataFrame, image: str, key: str, side: int = TILE) -> Dat
                 try:
                     x = decode(data)
                     rows.append((x.shape[1], x.shape[0], 1 if x.ndim == 2 else x.shape[2], difference_hash(x), npy_tile(x, side), None))
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, struct.error, IndexError) as e:
                     rows.append((None, None, None, None, None, str(e)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())

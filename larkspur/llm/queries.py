@@ -13,7 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(_table(spark, sf_dir, "documents")).drop("tile").withColumn("tile_side", F.lit(media.TILE))
+    made = media.text_media(_table(spark, sf_dir, "documents"))
+    return made.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 def _classified(scored: DataFrame, modulus: int, held: int, threshold: float) -> DataFrame:
