@@ -1,21 +1,29 @@
 """Embedding near-duplicates by spherical-cap filters over structured random product codes.
 
-Under each of several random rotations a unit vector is cut into four blocks; a filter direction is
-one of L random directions per block, so there are L**4 of them a rotation. Each vector takes the
-filters with the highest caps it exceeds, list-decoded from the best directions of its blocks and
-never enumerated: the height is set per vector so that six are exceeded, since with one height for
-all the structured code gives some vectors thousands of filters and others none. Vectors with a
-common filter are compared exactly, in double precision.
+Under each of several random rotations a unit vector is cut into blocks (two, or three for very large
+tables); a filter direction is one of L random directions per block, so there are L**blocks of them a
+rotation. Each vector takes all filters whose cap it is in, that is, whose product with it is at least
+the height; they are list-decoded block by block, never enumerated: a partial sum goes on only if the
+best directions of the blocks to come can still lift it to the height. There is one height for all,
+set from the dimension so that a vector is in `caps` filters on average. Vectors with a common filter
+are compared exactly, in double precision.
 
 Rotations are independent, so a pair lacks a common filter in all T of them with probability p**T.
-p is measured, for each L and for the dimension at hand, on random pairs at the threshold; T is then
-the least number with p**T at most MISS, taking p three standard errors too high. Of the L that is
-chosen which makes the least work by a model of the costs. Where even that is more work than to
-compare all pairs (few vectors, or few dimensions), all pairs are compared, block by block.
+p is measured, for each code and height and for the dimension at hand, on random pairs at the
+threshold; T is then the least number with p**T at most MISS, taking p three standard errors too high.
+Of the codes that is chosen which makes the least work by a model of the costs. So the filters of a
+vector do not grow with the table but for the logarithm that is in T. Only tables of under FEW vectors
+of one dimension, and those of under four dimensions, are compared all with all, block by block.
+
+A filter that holds more than HOT vectors is split into blocks of so many, and each pair of blocks is
+a key of its own: a dense cluster, a third of all rows even, is many small tasks. (Its links are still
+as many as its pairs, each of which is compared, since n_links counts them.)
 
 Null vectors, zero vectors and those with null or non-finite components link with nothing; vectors of
-different length are not compared. Equal vectors are one class and are not paired up. Repeated ids are
-separate vectors; a row without an id counts as a link but is never kept.
+different length are not compared; a very long vector is only compared with those of its length. Equal
+vectors are one class and are not paired up. Repeated ids are separate vectors; a row without an id
+counts as a link but is never kept. A cosine equal to the threshold links. An empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,50 +38,59 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut
 from .components import components
 
-BLOCKS = 4
 #: Probability that a pair at the threshold has no common filter.
 MISS = 1e-6
-#: Rough seconds for a multiplication, a compared pair, a filter of a vector and a candidate pair.
-MULTIPLY, COMPARE, ENTRY, CANDIDATE = 1e-10, 1e-9, 2e-6, 4e-6
-#: Comparing all pairs is not weighed against anything where it takes less than that.
-PLAN_SECONDS = 10
+#: Rough seconds for a multiplication, a filter of a vector and a candidate pair.
+MULTIPLY, ENTRY, CANDIDATE = 1e-10, 2e-6, 4e-6
+#: Fewer vectors than these are compared all with all.
+FEW = 4096
+#: Vectors of one filter that are one key of the join.
+HOT = 1024
 BLOCK_BYTES = 16 << 20
 
 
+def cap_height(d: int, blocks: int, share: float) -> float:
+    """The product with a filter (whose square is `blocks`) that a random unit vector reaches with probability share."""
+    t = np.linspace(-1, 1, 200_001)
+    density = np.maximum(1 - t * t, 0) ** ((d - 3) / 2)
+    tail = np.cumsum(density[::-1])
+    return float(math.sqrt(blocks) * t[::-1][np.searchsorted(tail, share * tail[-1])])
+
+
 class Filters:
-    """The first product codes of L = size for vectors of d dimensions, one a rotation."""
+    """The first product codes of `blocks` times `size` directions for vectors of d dimensions, one a rotation."""
 
-    def __init__(self, d: int, size: int, rotations: int, per_rotation: int = 6, seed: int = 7) -> None:
-        self.per = per_rotation
-        self.d = max(BLOCKS * 2, -(-d // BLOCKS) * BLOCKS)
-        self.size = size
+    def __init__(self, d: int, blocks: int, size: int, caps: float, rotations: int, seed: int = 7) -> None:
+        self.blocks, self.size = blocks, size
+        self.d = -(-d // blocks) * blocks
+        self.height = cap_height(self.d, blocks, caps / size**blocks)
         self.codes = []
         for t in range(rotations):
-            rng = np.random.default_rng([seed, d, size, t])
+            rng = np.random.default_rng([seed, d, blocks, size, t])
             turn = np.linalg.qr(rng.standard_normal((self.d, self.d)))[0][:d]
-            code = rng.standard_normal((BLOCKS, self.size, self.d // BLOCKS))
-            self.codes.append((turn, code / np.linalg.norm(code, axis=2, keepdims=True)))
-
-    def passed(self, x: np.ndarray) -> np.ndarray:
-        """(n, filters) of unit vectors; numbers of different rotations differ."""
-        return np.concatenate([self._best(x, turn, code) + t * self.size**BLOCKS for t, (turn, code) in enumerate(self.codes)], axis=1)
-
-    def _best(self, x: np.ndarray, turn: np.ndarray, code: np.ndarray) -> np.ndarray:
-        k = self.per
-        products = ((x @ turn).reshape(len(x), BLOCKS, -1).transpose(1, 0, 2) @ code.transpose(0, 2, 1)).transpose(1, 0, 2)
-        value, index = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
-        for b in range(BLOCKS):
-            at = np.argpartition(-products[:, b], k - 1, axis=1)[:, :k]
-            own = np.take_along_axis(products[:, b], at, 1)
-            order = np.argsort(-own, axis=1)
-            at, own = np.take_along_axis(at, order, 1), np.take_along_axis(own, order, 1)
-            # of two sorted lists, only pairs with (i + 1) * (j + 1) <= k can be among the k highest sums
-            i, j = np.nonzero((np.arange(value.shape[1])[:, None] + 1) * (np.arange(k) + 1) <= k)
-            total = value[:, i] + own[:, j]
-            order = np.argsort(-total, axis=1)[:, :k]
-            value = np.take_along_axis(total, order, 1)
-            index = np.take_along_axis(index[:, i] * self.size + at[:, j], order, 1)
-        return index
+            code = rng.standard_normal((blocks, size, self.d // blocks))
+            self.codes.append((turn.astype(np.float32), (code / np.linalg.norm(code, axis=2, keepdims=True)).astype(np.float32)))
+
+    def passed(self, x: np.ndarray, rotation: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of all filters of a rotation whose caps the unit vectors are in; numbers of different rotations differ."""
+        turn, code = self.codes[rotation]
+        n = len(x)
+        turned = (x.astype(np.float32) @ turn).reshape(n, self.blocks, self.d // self.blocks)
+        products = turned.transpose(1, 0, 2) @ code.transpose(0, 2, 1)
+        top = products.max(axis=2)
+        rest = np.concatenate([np.cumsum(top[::-1], axis=0)[::-1][1:], np.zeros((1, n), np.float32)])  # what later blocks can add
+        row, value, index = np.arange(n), np.zeros(n, np.float32), np.full(n, rotation, np.int64)
+        for b in range(self.blocks):
+            # directions that the best ones of all other blocks lift to the height, joined to the sums so far by row
+            own, j = np.nonzero(products[b] >= (self.height - (top.sum(0) - top[b]) - 1e-5)[:, None])
+            at = np.searchsorted(own, np.arange(n + 1))
+            many = at[row + 1] - at[row]
+            from_ = np.repeat(np.arange(len(row)), many)
+            to = np.arange(len(from_)) - np.repeat(np.cumsum(many) - many, many) + at[row][from_]
+            total, row = value[from_] + products[b][own[to], j[to]], row[from_]
+            keep = total >= self.height - rest[b][row]
+            value, index, row = total[keep], (index[from_] * self.size + j[to])[keep], row[keep]
+        return row, index
 
 
 def pairs_at(cosine: float, d: int, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -84,33 +101,60 @@ def pairs_at(cosine: float, d: int, n: int, seed: int = 11) -> tuple[np.ndarray,
     return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y
 
 
-def _scan_seconds(d: int, n: int) -> float:
-    return n * n / 2 * (d * MULTIPLY + COMPARE)
+def met(codes: Filters, x: np.ndarray, y: np.ndarray, rotation: int) -> np.ndarray:
+    """For each pair of rows whether they have a filter of the rotation in common."""
+    (i, f), (j, g) = codes.passed(x, rotation), codes.passed(y, rotation)
+    width = codes.size**codes.blocks
+    found = np.intersect1d(i * width + f % width, j * width + g % width)
+    return np.isin(np.arange(len(x)), found // width)
 
 
-def plan(d: int, n: int, threshold: float, sample: np.ndarray, per_rotation: int = 6, rotations: int = 16) -> tuple[int, int] | None:
-    """(L, T) that lose a pair at the threshold with probability MISS; None where comparing all pairs is less work.
+def plan(d: int, n: int, threshold: float, sample: np.ndarray, rotations: int = 8) -> tuple[int, int, float, int] | None:
+    """(blocks, L, caps, T) that lose a pair at the threshold with probability MISS; None where all pairs are to be compared.
 
     sample holds some of the unit vectors: how often they meet by chance tells the number of candidates.
     """
-    least, chosen = _scan_seconds(d, n), None
-    if d < 2 * BLOCKS or not -1 < threshold < 1 or least < PLAN_SECONDS:
+    if d < 4 or n < FEW or not -1 < threshold < 1:
         return None
-    x, y = pairs_at(threshold, d, 512)
+    x, y = pairs_at(threshold, d, 384)
     possible = max(1, len(sample) * (len(sample) - 1) // 2) * rotations
-    for size in (16, 32, 64, 128, 256, 512, 1024):
-        codes = Filters(d, size, rotations, per_rotation)
-        fx, fy, met = codes.passed(x).reshape(len(x), rotations, 1, -1), codes.passed(y).reshape(len(y), rotations, -1, 1), np.unique(codes.passed(sample), return_counts=True)[1]
-        missed = 1 - (fx == fy).any((2, 3)).mean(0)
-        p = min(max(missed.mean() + 3 * missed.std(ddof=1) / math.sqrt(rotations), 1e-3), 1 - 1e-9)
-        turns = math.ceil(math.log(MISS) / math.log(p))
-        chance = float((met * (met - 1) // 2).sum() + 1) / possible
-        work = turns * (n * per_rotation * ENTRY + n * d * (d + size) * MULTIPLY + chance * n * n / 2 * CANDIDATE)
-        if work < least:
-            least, chosen = work, (size, turns)
+    least, chosen = math.inf, None
+    for blocks, size in [(2, 1 << k) for k in range(4, 13)] + [(3, 1 << k) for k in range(8, 11)]:
+        if d < 2 * blocks or not n / 16 <= size**blocks <= 64 * n or (blocks == 3 and n < 1 << 24):
+            continue
+        for caps in (3.0, 6.0):
+            codes = Filters(d, blocks, size, caps, rotations)
+            missed = 1 - np.array([met(codes, x, y, t) for t in range(rotations)]).mean(1)
+            p = min(max(missed.mean() + 3 * missed.std(ddof=1) / math.sqrt(rotations), 1e-3), 1 - 1e-9)
+            turns = math.ceil(math.log(MISS) / math.log(p))
+            many = np.concatenate([np.unique(codes.passed(sample, t)[1], return_counts=True)[1] for t in range(rotations)]) if len(sample) else np.zeros(0, np.int64)
+            chance = float((many * (many - 1) // 2).sum() + 1) / possible
+            work = turns * (n * caps * ENTRY + n * d * (d + size) * MULTIPLY + chance * n * n / 2 * CANDIDATE)
+            if work < least:
+                least, chosen = work, (blocks, size, caps, turns)
     return chosen
 
 
+def colliding(passed: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b, of the vectors with a common filter, once each; passed has f, d and cid.
+
+    Filters of more than `hot` vectors are joined by pairs of blocks of them.
+    """
+    large, _ = cut(passed.groupBy("f", "d").agg(F.count("*").alias("c")).where(F.col("c") > hot), "hot-filters")
+    left, right = (passed.select("f", "d", F.col("cid").alias(x)) for x in "ab")
+    if large.isEmpty():
+        return left.join(right, ["f", "d"]).where("a < b").select("a", "b").distinct()
+    cold = passed.join(large.select("f", "d"), ["f", "d"], "left_anti")
+    left, right = (cold.select("f", "d", F.col("cid").alias(x)) for x in "ab")
+    pairs = left.join(right, ["f", "d"]).where("a < b").select("a", "b")
+    blocks = F.ceil(F.col("c") / hot).cast("int")
+    members = passed.join(large, ["f", "d"]).withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    sent = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("f", "d", "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    one, two = (sent.where(f"own = {x}").select("f", "d", "i", "j", F.col("cid").alias(y)) for x, y in (("i", "a"), ("j", "b")))
+    met_ = one.hint("merge").join(two, ["f", "d", "i", "j"]).where("i <> j OR a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(met_).distinct()
+
+
 def _pack(column: pa.Array) -> list[bytes | None]:
     """Each usable vector as doubles; None for the others."""
     out = []
@@ -166,7 +210,7 @@ def all_pairs(classes: DataFrame, counts: dict[int, int], threshold: float) -> D
     return met.groupBy("d", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_rotation: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of df."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,34 +221,34 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows, _ = cut(source.mapInArrow(pack, "row long, vec_id long, v binary"), "vectors")
     classes, _ = cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row").alias("cid"), F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     classes = classes.withColumn("d", (F.length("v") / 8).cast("int"))
-    plans: dict[int, tuple[int, int] | None] = {}
+    plans: dict[int, tuple[int, int, float, int] | None] = {}
     counts = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()}  # one row a dimension
     for d, n in counts.items():
-        some = classes.where(F.col("d") == d).orderBy(F.xxhash64("cid")).limit(1024).select("v").collect() if _scan_seconds(d, n) >= PLAN_SECONDS else []
-        plans[d] = plan(d, n, threshold, _unit(np.array([np.frombuffer(r["v"]) for r in some])), per_rotation) if some else None
+        some = classes.where(F.col("d") == d).orderBy(F.xxhash64("cid")).limit(1024).select("v").collect() if n >= FEW else []
+        plans[d] = plan(d, n, threshold, _unit(np.array([np.frombuffer(r["v"]) for r in some]))) if some else None
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Filters] = {}
         for b in batches:
-            by: dict[int, list[tuple[int, bytes]]] = {}
-            for cid, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(len(v) // 8, []).append((cid, v))
-            for d, group in by.items():
+            ids, vectors = b.column(0).to_numpy(), b.column(1).to_pylist()
+            lengths = np.array([len(v) // 8 for v in vectors])
+            for d in np.unique(lengths).tolist():
                 if d not in codes:
-                    codes[d] = Filters(d, *plans[d], per_rotation)
-                x = _unit(np.array([np.frombuffer(v) for _, v in group]))
-                ids = np.array([c for c, _ in group], dtype=np.int64)
-                for at in range(0, len(x), 1024):
-                    found = codes[d].passed(x[at : at + 1024])
-                    cid, filters = np.repeat(ids[at : at + 1024], found.shape[1]), found.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(filters), pa.array(np.full(len(filters), d, np.int32)), pa.array(cid)], ["f", "d", "cid"])
+                    codes[d] = Filters(d, *plans[d])
+                own = np.flatnonzero(lengths == d)
+                for at in range(0, len(own), 512):
+                    part = own[at : at + 512]
+                    x, cid = _unit(np.frombuffer(b"".join(vectors[i] for i in part)).reshape(-1, d)), ids[part]
+                    found = [codes[d].passed(x, t) for t in range(plans[d][3])]
+                    filters = np.concatenate([f for _, f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(filters), pa.array(np.full(len(filters), d, np.int32)), pa.array(np.concatenate([cid[r] for r, _ in found]))], ["f", "d", "cid"])
 
     scanned = [d for d, p in plans.items() if p is None]
     candidates = all_pairs(classes.where(F.col("d").isin(scanned)), {d: counts[d] for d in scanned}, threshold)
     if len(scanned) < len(plans):
         passed, _ = cut(classes.where(~F.col("d").isin(scanned)).select("cid", "v").repartition("cid").mapInArrow(decode, "f long, d int, cid long"), "filters")
-        left, right = passed.select("f", "d", F.col("cid").alias("a")), passed.select("f", "d", F.col("cid").alias("b"))
-        candidates = candidates.unionByName(left.join(right, ["f", "d"]).where("a < b").select("a", "b").distinct())
+        found = colliding(passed)
+        candidates = candidates.unionByName(found) if scanned else found
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -101,21 +101,42 @@ def test_spherical_matches_brute_force(spark):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize("d,n", [(64, 10_000), (64, 3_000_000), (64, 300_000_000), (32, 30_000_000), (24, 1_000_000), (16, 1_000_000)])
+@pytest.mark.parametrize("d,n", [(64, 10_000), (64, 3_000_000), (64, 300_000_000), (32, 30_000_000), (24, 1_000_000), (16, 1_000_000), (8, 100_000)])
 def test_spherical_plans_lose_few_pairs(d, n):
-    """At any size of the table, pairs at the threshold meet in a filter, or all pairs are compared."""
+    """At any size of the table, pairs at the threshold meet in a filter."""
     sample = spherical._unit(np.random.default_rng(5).standard_normal((512, d)))
-    found = spherical.plan(d, n, 0.9, sample)
-    if found is None:
-        return
-    size, rotations = found
-    x, y = spherical.pairs_at(0.9005, d, 3000, seed=6)
-    met = np.zeros(3000, bool)
-    codes = spherical.Filters(d, size, rotations)
-    for at in range(0, 3000, 500):
-        fx, fy = (codes.passed(v[at : at + 500]).reshape(500, rotations, -1) for v in (x, y))
-        met[at : at + 500] = (fx[:, :, :, None] == fy[:, :, None, :]).any((1, 2, 3))
-    assert met.all()
+    *code, rotations = spherical.plan(d, n, 0.9, sample)
+    x, y = spherical.pairs_at(0.9005, d, 5000, seed=6)
+    left = np.arange(5000)
+    codes = spherical.Filters(d, *code, rotations)
+    for t in range(rotations):
+        left = left[~spherical.met(codes, x[left], y[left], t)]
+    assert len(left) == 0
+
+
+def test_filters_are_all_whose_caps_hold_the_vector():
+    """The list decoding against an enumeration of all directions, for two and three blocks."""
+    x = spherical._unit(np.random.default_rng(2).standard_normal((50, 12)))
+    for blocks, size in ((2, 16), (3, 6)):
+        codes = spherical.Filters(12, blocks, size, 4.0, 2)
+        for t, (turn, code) in enumerate(codes.codes):
+            parts = (x @ turn).reshape(50, blocks, -1)
+            sure, perhaps = set(), set()
+            for number in range(size**blocks):
+                at = [number // size ** (blocks - 1 - b) % size for b in range(blocks)]
+                total = sum(parts[:, b] @ code[b, at[b]] for b in range(blocks))
+                for found, height in ((sure, codes.height + 1e-5), (perhaps, codes.height - 1e-5)):
+                    found |= {(int(i), t * size**blocks + number) for i in np.flatnonzero(total >= height)}
+            row, f = codes.passed(x, t)
+            got = set(zip(row.tolist(), f.tolist()))
+            assert sure <= got <= perhaps and len(got) == len(row) and len(sure) > 100
+
+
+@pytest.mark.parametrize("d", [4, 16, 64, 256])
+def test_cap_height_gives_the_number_of_caps(d):
+    x = spherical._unit(np.random.default_rng(d).standard_normal((400, d)))
+    codes = spherical.Filters(d, 2, 64, 6.0, 30)
+    assert abs(sum(len(codes.passed(x, t)[0]) for t in range(30)) / (400 * 30) - 6) < 0.5
 
 
 @pytest.mark.parametrize("d", [2, 8, 16])
@@ -133,11 +154,22 @@ def test_spherical_filters_and_scan_agree(spark, monkeypatch):
     base = rng.standard_normal((500, 24))
     x = np.concatenate([base, base + rng.standard_normal(base.shape) * 0.4])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = []
-    for seconds in (1e-9, 1.0):  # all pairs are little work, or much
-        monkeypatch.setattr(spherical, "COMPARE", seconds)
-        got.append(sorted(map(tuple, spherical.near_duplicates(df).collect())))
-    assert got[0] == got[1] and sum(r[1] for r in got[0]) > 200
+    want = sorted(map(tuple, spherical.near_duplicates(df).collect()))  # few vectors: all pairs
+    assert sum(r[1] for r in want) > 200
+    monkeypatch.setattr(spherical, "FEW", 10)
+    assert sorted(map(tuple, spherical.near_duplicates(df).collect())) == want
+
+
+@pytest.mark.parametrize("hot", [7, 1000])
+def test_hot_filters_are_split(spark, hot):
+    rng = np.random.default_rng(4)
+    rows = [(1, 8, i) for i in range(50)] + [(2, 8, i) for i in range(40, 60)] + [(1, 9, 3), (3, 8, 7)] + [(int(rng.integers(4, 9)), 8, i) for i in range(30)]
+    members = {}
+    for f, d, c in rows:
+        members.setdefault((f, d), set()).add(c)
+    want = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    got = [tuple(r) for r in spherical.colliding(spark.createDataFrame(rows, "f long, d int, cid long"), hot).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_extra_columns_and_repeated_rows(spark):
