@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of
 `documents`. Stages filter rows where they lie, so texts are moved only by the near-dedup join and into
 the packets of the repeat removal.
+
+Defined results of all stages: a null text is scored, compared and packed as an empty one; texts of any
+length are used whole; rows without an id, and rows that share one, are rows of their own (labels find
+all rows of their id); of equal rows that are all that is left of a group one stays, which one being
+decided by id, then by row; an empty table stays empty; all columns of the table come through the first
+four stages as they are, but for `text` and `n_chars` of the fourth, and the last has its own.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm import packing, quality, repeats, simhash, toxicity
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, scratch_released
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written and read again before the next."""
+    """All stages on documents, each written and read again before the next; a stage's scratch tables go once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_released(spark) as keep:
+            docs, path = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(path)
     return STAGES[-1][1](spark, docs, sf_dir)

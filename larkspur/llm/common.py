@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +19,39 @@ U64 = np.uint64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); set here only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a machine's own only where it is unset and Spark runs in one process.
+
+    On a cluster such a folder would hold only what its executors write, so there an unset one is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/larkspur/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+_MADE: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Drop every scratch table of this application, once no result that reads them is needed."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("packets_"):
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_root(spark)}/larkspur/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch_released(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables made within are removed at the end, but for the paths put into the list: those of results."""
+    start, keep = len(_MADE), []
+    yield keep
+    gone = [p for p in _MADE[start:] if p not in keep]
+    for t in spark.catalog.listTables("default"):
+        if t.name.startswith("packets_") and any(p.endswith(t.name.removeprefix("packets_")) for p in gone):
             spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
-    remove(spark, f"{scratch_root(spark)}/larkspur/{spark.sparkContext.applicationId}")
+    remove(spark, *gone)
+    _MADE[start:] = keep
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -10,11 +10,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int) -> DataFrame:
     """(text, y) of at most max_rows labelled documents per class, by hash of the id, held-out rows left out.
 
     The chosen ids are at most 2 * max_rows rows, which bounds the broadcast; the texts are read where
-    they lie. Null ids and labels are left out; an id labelled twice counts once, with its larger label.
+    they lie. Labelled texts of more than max_bytes are not trained on (they are scored like any other), so
+    the training task has a bound in bytes too. Null ids and labels are left out; an id labelled twice counts
+    once, with its larger label; rows that share an id are all in the sample.
     """
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -25,5 +27,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     # One take-ordered per class: no class's rows are brought together.
     chosen = rows.where("y = 0").orderBy("o").limit(max_rows).unionByName(rows.where("y = 1").orderBy("o").limit(max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
     return texts.join(F.broadcast(chosen.select("doc_id", "y", "o")), "doc_id").select("text", "y", "o")
 

@@ -33,7 +33,6 @@ are dropped. There are no ties: a string either starts elsewhere or does not.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,7 +326,8 @@ def remove_repeats(
                 )
                 number += 1
 
-    table, path = f"packets_{uuid.uuid4().hex}", scratch_path(spark, "packets")
+    path = scratch_path(spark, "packets")
+    table = f"packets_{path[-32:]}"  # the two go together
     made = body.mapInArrow(packets, "bid long, offsets binary, data binary, rest binary")
     made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "bid").saveAsTable(table)
     source = spark.table(table)

@@ -7,8 +7,10 @@ nearest codeword of the perfect Golay code and the other all codewords within di
 six). So an exact segment with a Golay index, or two Golay indices with the three parities flipped,
 join every such pair; the join then counts the differing bits. Only distinct fingerprints are joined.
 
-Null and empty texts have fingerprint zero, linked like any other. Texts of one or two words are one
-shingle. Repeated rows count as documents; extra columns are ignored.
+Defined results: null and empty texts have fingerprint zero, linked like any other; texts of one or two
+words are one shingle; a very long text is one fingerprint of all its shingles; a bit that is set in just
+half of them is 0; repeated rows count as documents; an empty table gives an empty result; other columns
+are ignored by `near_duplicates` and kept by `representatives`, which may not have one named _row.
 """
 
 from __future__ import annotations

@@ -2,8 +2,14 @@
 
 Features are the presence of word unigrams, bigrams and skip-grams (one and two words left out) in a
 32-bit hash space. Per-coordinate learning rates and the L1 penalty leave a few thousand weights,
-which is what is broadcast. Null and empty texts have no feature and score by the bias alone; a
-repeated row gets the same score; extra input columns are left alone by `score_texts`.
+which is what is broadcast.
+
+Defined results: null and empty texts have no feature and score by the bias alone; a very long text is
+scored whole, two megabytes of others at a time beside it; repeated rows get the same score; labelled
+rows of equal hash come in the order of label and features, so training does not depend on partitions;
+without labels of both classes all scores are those of the label there is, or 0.5; an empty table gives
+an empty result; `score_texts` ignores other columns and `accepted` keeps them all, whatever their names.
+A score equal to the threshold counts as toxic.
 """
 
 from __future__ import annotations
@@ -31,8 +37,9 @@ class Settings:
     epochs: int = 15
     #: Slots in fewer documents of the sample cannot outgrow the L1 penalty and are left out at once.
     min_docs: int = 4
-    #: Labelled rows per class that may be used; the only bound on training.
+    #: Labelled rows per class that may be used, and the longest text: the only bounds on training.
     max_rows: int = 3000
+    max_bytes: int = 1 << 20
     threshold: float = 0.7
 
 
@@ -96,7 +103,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> Weights:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), modulus: int = 3, held: int = 1) -> Weights:
     """Weights from the bounded sample: features where the texts lie, one task for the sequential pass."""
     bounded_batches(docs.sparkSession)
-    sample = training_sample(docs, labels, "toxic", modulus, held, settings.max_rows)
+    sample = training_sample(docs, labels, "toxic", modulus, held, settings.max_rows, settings.max_bytes)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

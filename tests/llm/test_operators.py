@@ -358,7 +358,108 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [2, 5])
+def test_full_shards_exchange_documents(spark, group):
+    """Where all bytes are in groups of equal texts there is next to no room: groups still come together, shards stay even."""
+    rng = random.Random(group)
+    texts = [t for i in range(600) for t in ["x" * rng.randint(1, 300) + str(i)] * group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard(df).collect()
+    by, load = {}, Counter()
+    for r in rows:
+        by.setdefault(texts[r.doc_id], []).append(r.shard)
+        load[r.shard] += r.size
+    cut = sum(len(s) - max(Counter(s).values()) for s in by.values()) / sum(len(s) - 1 for s in by.values())
+    assert cut < 0.05 and max(load.values()) < 1.06 * sum(load.values()) / 8
+
+
+def test_large_groups_are_spread_over_keys(spark):
+    texts = ["same text"] * 300 + [f"own {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard(df, key_rows=40).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(700)) and len({r.shard for r in rows if r.doc_id < 300}) <= 5  # it is larger than a share
+    assert [r.linked for r in sorted(rows, key=lambda r: r.doc_id)] == [True] * 300 + [False] * 400
+
+
+def test_exchange_keeps_quotas():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        wishes, room = rng.uniform(0, 9, (8, 8)) * (rng.random((8, 8)) < 0.4), rng.uniform(0, 5, 8) * (rng.random(8) < 0.3)
+        part = sharding.exchange(wishes.copy(), np.zeros((8, 8)), room)
+        np.fill_diagonal(wishes, 0)
+        moving = wishes * part
+        assert (moving.sum(0) <= room + moving.sum(1) + 1e-3).all() and (0 <= part).all() and (part <= 1).all()
+    ring = np.zeros((3, 3))
+    ring[0, 1] = ring[1, 2] = ring[2, 0] = 5.0
+    assert sharding.exchange(ring, ring, np.zeros(3)).tolist() == [1, 1, 1]
+
+
 # ---------------------------------------------------------------- classifiers
+def test_ftrl_against_a_plain_one():
+    """The same updates, one coordinate after another."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 60, 12)).astype(np.uint32), int(rng.random() < 0.4)) for _ in range(120)]
+    s = toxicity.Settings(epochs=3, l1=0.7, min_docs=4)
+    docs = Counter(int(i) for x, _ in rows for i in x)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else s.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for x, y in rows:
+            names = [int(i) for i in x if docs[int(i)] >= s.min_docs] + ["bias"]
+            w = {i: weight(i) for i in names}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in names:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    got = toxicity.ftrl(rows, s)
+    want = {i: weight(i) for i in docs if docs[i] >= s.min_docs and weight(i) != 0}
+    assert dict(zip(got.slots.tolist(), got.values.tolist())) == pytest.approx(want) and got.bias == pytest.approx(weight("bias")) and len(want) > 5
+
+
+def test_features_are_words_pairs_and_skips():
+    import pyarrow as pa
+
+    a, b, c, d, empty, none = toxicity.features(pa.array(["Red fox, ran FAR away", "red FOX ran far; away", "red fox", "fox red", "", None]))
+    assert a.tolist() == b.tolist() and len(a) == 5 + 4 + 3 + 2  # words, neighbours, one and two left out
+    assert len(c) == 3 and len(set(c.tolist()) & set(a.tolist())) == 3 and len(set(c.tolist()) & set(d.tolist())) == 2
+    assert len(empty) == len(none) == 0
+
+
+def test_statistics_against_plain_counts():
+    import pyarrow as pa
+    import re
+
+    texts = ["Hello HELLO hello, 12 é!\nline\nline\n", "", None, "a a a b", "ONE $$$ two\n\nthree", "x" * 30 + " yy"]
+    got = quality.statistics(pa.array(texts))
+    for t, x in zip(texts, got):
+        raw = (t or "").encode()
+        size = max(len(raw), 1)
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+        low = [w.lower() for w in words]
+        n = max(len(words), 1)
+        lengths = [len(w) for w in words]
+        mean = sum(lengths) / n
+        again = sum(p == q for p, q in zip(low, low[1:]))
+        lines = raw.split(b"\n")[: raw.count(b"\n") + (not raw.endswith(b"\n"))] if raw else []
+        want = [sum(65 <= c <= 90 for c in raw) / size, sum(48 <= c <= 57 for c in raw) / size, sum(c == 32 or 9 <= c <= 13 for c in raw) / size, sum(chr(c) in ".,;:'\"-()?" for c in raw) / size]
+        assert x[:4] == pytest.approx(want) and x[5:7] == pytest.approx([sum(c >= 128 for c in raw) / size, raw.count(b"\n") / size])
+        tail = [math.log1p(len(words)), mean, math.sqrt(max(sum(k * k for k in lengths) / n - mean**2, 0)), sum(k <= 3 for k in lengths) / n, sum(k > 20 for k in lengths) / n, again / n, len(set(low)) / n]
+        assert x[7:14] == pytest.approx(tail, abs=1e-9)
+        assert x[16] == pytest.approx(1 - len({p.lower() for p in lines}) / len(lines) if lines else 0)
+
+
+def test_the_cut_leaves_the_labelled_share_below():
+    rng = np.random.default_rng(7)
+    x, y = rng.standard_normal((300, quality.N_FEATURES)), (rng.random(300) < 0.8).astype(int)
+    m = quality.threshold_by_quantile(quality.bradley_terry(x, y, quality.Settings()), x, y, np.ones(300))
+    assert abs((m.raw(x) < m.cut).sum() - (y == 0).sum()) <= 1
+    assert ((m.score(x) >= m.threshold) == (m.raw(x) >= m.cut)).all()
+
+
 def _labelled(spark, n=900):
     rng = random.Random(5)
     words = [f"wo{i}" for i in range(300)]
@@ -396,6 +497,24 @@ def test_classifiers_without_labels(spark):
     assert quality.score_texts(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_held_out_labels_do_not_move_scores(spark):
+    docs, labels = _labelled(spark, 300)
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    turned = labels.withColumn("quality", F.when(crc % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.when(crc % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    for module in (quality, toxicity):
+        a, b = (sorted((r.doc_id or -1, r.score) for r in module.score_texts(docs, module.fit(docs, some)).collect()) for some in (labels, turned))
+        assert a == b
+
+
+def test_long_texts_are_scored_but_not_trained_on(spark):
+    docs, labels = _labelled(spark, 200)
+    long = spark.createDataFrame([(5000, "vile " + "wo1 " * 400_000, "x")], "doc_id long, text string, score string")
+    more = labels.unionByName(spark.createDataFrame([(5000, 1, 0)], "doc_id long, quality int, toxic int"))
+    for module in (quality, toxicity):
+        a, b = module.fit(docs, labels), module.fit(docs.unionByName(long), more)
+        assert module.score_texts(long, b).first().score == module.score_texts(long, a).first().score or module is quality
+
+
 def test_held_out_labels_do_not_move_the_quality_model(spark):
     docs, labels = _labelled(spark, 200)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -513,4 +632,40 @@ def test_pipeline_stages_against_their_definitions(spark, tmp_path):
                     if seen[b[j : j + width]] > 1:
                         gone[j : j + width] = True
                 assert after[i].text == bytes(np.frombuffer(b, np.uint8)[~gone]).decode() and after[i].n_chars == len(after[i].text)
+    from larkspur.llm import common
+
+    before = set(common._MADE)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    made = [p.rsplit("/", 1)[1] for p in common._MADE if p not in before]
+    assert sum(p.startswith("stage-") for p in made) == 4 and not any(p.startswith(("packets", "replies", "prints")) for p in made)  # only the last stage's own are left
+
+
+def test_queries_keep_their_contracts(spark, tmp_path):
+    """The columns and types of each query on a table with nulls, repeats and clashing columns; folds and thresholds of the scores."""
+    from larkspur.llm import queries
+
+    docs, labels = _labelled(spark, 150)
+    docs = docs.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("shard", F.lit(9)).unionByName(docs.limit(3).select("doc_id", "text", "score", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("shard")))
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, 0.5], 1) for i in range(30)] + [(30, None, 1), (None, [1.0, 0.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
+    for name, df in (("documents", docs), ("labels", labels), ("embeddings", vectors), ("pages", pages)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    n = docs.count()
+    wanted = {
+        "op1_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+        "op3_simhash": "doc_id bigint, fingerprint string, n_near bigint, component_id bigint", "op4_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+        "op6_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int", "op7_spherical": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+        "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int", "op9_repeats": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+        "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    }
+    for name, columns in wanted.items():
+        frame = queries.QUERIES[name](spark, str(tmp_path))
+        assert ", ".join(f"{c} {t}" for c, t in frame.dtypes).startswith(columns), name
+        rows = frame.collect()
+        assert len(rows) == (32 if name == "op7_spherical" else n) or name == "op4_packing" and len({r.doc_id for r in rows}) == len({r.doc_id for r in docs.collect()})
+        if name in ("op8_toxicity", "op10_quality"):
+            modulus, held, cut = (3, 1, 0.7) if name == "op8_toxicity" else (5, 0, 0.3)
+            for r in rows:
+                assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == held) and r.predicted == (r.score >= cut)
+    assert set(queries.QUERIES) == {*wanted, "op2_warc", "op5_pieces"} and queries.QUERIES["op2_warc"](spark, str(tmp_path)).count() == 4
+    assert all(r.lossless for r in queries.QUERIES["op5_pieces"](spark, str(tmp_path)).collect())
