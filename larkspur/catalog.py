@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.plans import code, retrieval, storage
+from larkspur.plans import code, formats, retrieval, storage, symbols
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (retrieval, code, storage):
+for _module in (retrieval, code, symbols, storage, formats):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -98,6 +98,55 @@ def token_kind(pos: Column) -> Column:
     )
 
 
+def is_searchable(kind: Column) -> Column:
+    return kind.isin("noun", "verb", "adjective", "adverb", "foreign", "number")
+
+
+def offset_tokens(df, key: str, text: str, lowercase: bool = True):
+    """key, pos, token, start and end (bytes of the possibly lower-cased text) of the words between white space."""
+    import re
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = (t or "").lower() if lowercase else t or ""
+                at = last = 0
+                for i, m in enumerate(re.finditer(r"\S+", t)):
+                    at += len(t[last : m.start()].encode())
+                    size = len(m.group().encode())
+                    rows.append((k, i, m.group(), at, at + size))
+                    at, last = at + size, m.end()
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (b.schema.field(0).type, pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "pos", "token", "start", "end"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, pos int, token string, start long, end long")
+
+
+def dictionary_entry(line: Column) -> Column:
+    """term, pos and reading of a user dictionary's line ("term,pos" reads as the term); null for blank lines and comments.
+
+    Any other number of parts is an error of the query.
+    """
+    bare = F.trim(line)
+    parts = F.transform(F.split(bare, ","), lambda x: F.trim(x))
+    n = F.size(parts)
+    fits = F.struct(F.get(parts, F.lit(0)).alias("term"), F.get(parts, F.lit(1)).alias("pos"), F.when(n == 3, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(0))).alias("reading"))
+    bad = F.raise_error(F.concat(F.lit("bad dictionary entry: "), bare)).cast("struct<term:string,pos:string,reading:string>")
+    return F.when((bare != "") & ~bare.startswith("#"), F.when(n.isin(2, 3), fits).otherwise(bad))
+
+
+def dictionary_line(entry: Column) -> Column:
+    """The entry as the analyser's dictionary wants it: term, cost 0, pos, reading."""
+    return F.concat_ws(",", entry.term, F.lit("0"), entry.pos, entry.reading)
+
+
 # ---------------------------------------------------------------- Hangul
 def _code(c: Column) -> Column:
     return F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
@@ -151,10 +200,22 @@ def fusion_alpha(query: Column) -> Column:
 
 
 # ---------------------------------------------------------------- results
+def clipped(text: Column, most: int) -> Column:
+    """The first characters that have at most `most` bytes together: one more byte tells whether the last one is whole."""
+    raw = F.encode(text, "UTF-8")
+    # continuation bytes are 80 to BF: a cut lies before a byte that is none
+    cut = F.element_at(F.filter(F.sequence(F.lit(most), F.lit(most - 3), F.lit(-1)), lambda i: (i <= 0) | ~F.hex(F.substring(raw, i + 1, F.lit(1))).rlike("^[89AB]")), 1)
+    return F.when(F.octet_length(text) > most, F.substring(raw, F.lit(1), cut).cast("string")).otherwise(text)
+
+
 def truncated(text: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters, with dots where cut."""
-    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")), "\uFFFD+$", "")
-    return F.when(F.octet_length(text) > most, F.concat(head, F.lit("..."))).otherwise(text)
+    return F.when(F.octet_length(text) > most, F.concat(clipped(text, most), F.lit("..."))).otherwise(text)
+
+
+def without_home(path: Column, home: str) -> Column:
+    """Without the home folder and leading slashes."""
+    return F.ltrim(F.when(path.startswith(home), F.substr(path, F.lit(len(home) + 1))).otherwise(path), F.lit("/"))
 
 
 def compact(text: Column, most: int = 150) -> Column:
@@ -178,7 +239,7 @@ def relative_path(path: Column, root: str) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(^|[/\\])tests?[/\\]|_tests?\.\w+$|[/\\]tests?\.\w+$")
+    return path.rlike(r"[/\\]tests?[/\\]|_test\.(rs|go)$")
 
 
 # ---------------------------------------------------------------- code tokens for MinHash
@@ -190,5 +251,11 @@ def minhash_tokens(text: Column) -> Column:
 
 
 def content_key(*parts: Column) -> Column:
-    """A 60-bit number from the md5 of the parts, the same in any engine."""
+    """A 60-bit number from the md5 of the parts, the same in any engine: ids of chunks by source and place."""
     return F.conv(F.substring(F.md5(F.concat_ws("\x01", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def content_hash(content: Column) -> Column:
+    """The first eight bytes of the md5 as an unsigned little-endian number, in 16 hexadecimal digits."""
+    h = F.md5(content.cast("binary"))
+    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])

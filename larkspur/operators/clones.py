@@ -110,10 +110,92 @@ def tag(ast: Column, j: Column) -> Column:
     return F.when(ast & (j >= 0.5), "AST+Token").when(ast, "AST").when(j >= 0.5, "Token").otherwise("Weak")
 
 
-def unified(ast_pairs: DataFrame, token_pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score, j, tag) from pairs with equal tree hashes and token pairs (a, b, j)."""
-    ast = ast_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("ast", F.lit(True))
-    both = ast.join(token_pairs, ["a", "b"], "full").select("a", "b", F.coalesce("ast", F.lit(False)).alias("ast"), F.coalesce("j", F.lit(0.0)).alias("j"))
+def candidates(chunks: DataFrame, least_lines: int = 0, tests: bool = False) -> DataFrame:
+    """chunks(start_line, end_line, is_test, file, ...) of enough lines; tests, by mark or by path, only if asked for."""
+    out = chunks.where(F.col("end_line") - F.col("start_line") + 1 >= least_lines)
+    return out if tests else out.where(~(F.col("is_test") | T.is_test_path(F.col("file"))))
+
+
+def without_overlaps(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) whose chunks(id, file, start_line, end_line) do not overlap in one file; chunks without a place overlap nothing."""
+    place = chunks.select("id", "file", "start_line", "end_line")
+    one, two = (place.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "start_line", "end_line")]) for x in "ab")
+    met = overlap(*[F.col(f"{c}_{x}") for x in "ab" for c in ("file", "start_line", "end_line")])
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(~F.coalesce(met, F.lit(False))).select(*pairs.columns)
+
+
+def best_pairs(pairs: DataFrame, k: int, score: str = "j") -> DataFrame:
+    """The k pairs with the highest score, a report; ties go to the smaller ids."""
+    return pairs.orderBy(F.desc(score), "a", "b").limit(k)
+
+
+def separate(groups: DataFrame) -> DataFrame:
+    """groups(hash, id, file, start_line, end_line) without chunks that overlap a larger one that stays, within hash and file.
+
+    Of chunks of equal lines the smaller id stays; of rows that share hash and id the largest counts, and they
+    stay or go together. A chunk stays as soon as no larger one that overlaps it is
+    undecided, and goes as soon as one that overlaps it stays; each round decides at least the largest left.
+    Overlaps are found by equality on stretches of 256 lines, so a file of many chunks is not compared all with all.
+    """
+    from larkspur.checkpoints import settled
+
+    size = F.col("end_line") - F.col("start_line")
+    one = groups.groupBy("hash", "id").agg(F.max(F.struct(size.alias("size"), "file", "start_line", "end_line")).alias("c"))
+    every = one.select("hash", "id", "c.file", "c.start_line", "c.end_line", "c.size")
+    tiles = every.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start_line") / 256), F.floor(F.col("end_line") / 256))))
+    small, large = (tiles.select("hash", "file", "tile", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "start_line", "end_line", "size")]) for x in "sl")
+    bigger = (F.col("size_l") > F.col("size_s")) | ((F.col("size_l") == F.col("size_s")) & (F.col("id_l") < F.col("id_s")))
+    over = (F.col("start_line_s") <= F.col("end_line_l")) & (F.col("start_line_l") <= F.col("end_line_s"))
+    against = settled(small.join(large, ["hash", "file", "tile"]).where(bigger & over).select("hash", F.col("id_s").alias("id"), F.col("id_l").alias("by")).distinct(), "overlaps")
+    gone = against.select("hash", "id").where("false")
+    left = against
+    while not left.isEmpty():
+        waiting = left.select("hash", "id").distinct()
+        staying = left.select("hash", F.col("by").alias("id")).distinct().join(waiting, ["hash", "id"], "left_anti")
+        out = left.join(staying.withColumnRenamed("id", "by"), ["hash", "by"], "left_semi").select("hash", "id").distinct()
+        gone = settled(gone.unionByName(out), "overlapped")
+        left = left.join(gone, ["hash", "id"], "left_anti").join(gone.withColumnRenamed("id", "by"), ["hash", "by"], "left_anti")
+        left = settled(left.select("hash", "id", "by"), "undecided")
+    return groups.join(gone, ["hash", "id"], "left_anti").select(*groups.columns)
+
+
+def file_groups(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """file_a, file_b, pairs and best score of pairs(a, b, score), most pairs first."""
+    place = chunks.select("id", "file")
+    named = pairs.join(place.select(F.col("id").alias("a"), F.col("file").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("file").alias("y")), "b")
+    return named.groupBy(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b")).agg(F.count("*").alias("pairs"), F.max("score").alias("best")).orderBy(F.desc("pairs"), "file_a", "file_b")
+
+
+def clone_classes(texts: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rep, h, sig) of each class, (id, rep) membership) of texts(id, h) with equal structure hash h and equal signature.
+
+    Either may be null (no tree, too few tokens); rows with neither are in no class. Reps are the smallest ids.
+    """
+    both = texts.join(sigs, "id", "full").where("h IS NOT NULL OR sig IS NOT NULL")
+    groups = both.groupBy("h", "sig").agg(F.min("id").alias("rep"))
+    key = lambda d: d.withColumn("k", F.xxhash64("h", "sig"))
+    x, y = key(both), key(groups).select("k", F.col("h").alias("gh"), F.col("sig").alias("gs"), "rep")
+    member = x.join(y, "k").where(F.col("h").eqNullSafe(F.col("gh")) & F.col("sig").eqNullSafe(F.col("gs"))).select("id", "rep")
+    return groups.select("rep", "h", "sig"), member
+
+
+def unified(classes_: DataFrame, threshold: float, wide: float = 20 / K) -> DataFrame:
+    """(a, b, score, j, tag) of class representatives: candidates by equal structure or by signatures from `wide` up, each scored by both.
+
+    The score is 1 for equal structure, else j, the share of equal places of the signatures. Classes that
+    agree wholly in structure, or wholly in signature, are linked to the first of them and so to each other.
+    """
+    hashed, signed = classes_.where("h IS NOT NULL"), classes_.where("sig IS NOT NULL")
+    first = hashed.groupBy("h").agg(F.min("rep").alias("a"))
+    tree = hashed.select("rep", "h").join(first, "h").where("rep <> a").select("a", F.col("rep").alias("b"))
+    groups = signed.groupBy("sig").agg(F.min("rep").alias("srep"))
+    member = signed.select("rep", "sig").join(groups, "sig").select("rep", "srep")
+    same = member.where("rep <> srep").select(F.col("srep").alias("a"), F.col("rep").alias("b"))
+    near = similar_pairs(groups, wide, "srep").where("j < 1").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    far = near.join(member.select(F.col("srep").alias("x"), F.col("rep").alias("p")), "x").join(member.select(F.col("srep").alias("y"), F.col("rep").alias("q")), "y")
+    pairs = tree.unionByName(same).unionByName(far.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
+    one, two = (classes_.select(F.col("rep").alias(x), F.col("h").alias(f"h{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.coalesce(F.col("ha") == F.col("hb"), F.lit(False)).alias("ast"), F.coalesce(jaccard(F.col("sa"), F.col("sb")), F.lit(0.0)).alias("j"))
     score = F.greatest(F.when(F.col("ast"), 1.0).otherwise(0.0), F.col("j"))
     return both.select("a", "b", score.alias("score"), "j", tag(F.col("ast"), F.col("j")).alias("tag")).where(F.col("score") >= threshold)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larkspur.checkpoints import settled
 from larkspur.errors import InvalidArgument, NotFound
+from larkspur.functions import text as T
 
 
 def latest(versions: DataFrame, key: str, *order: str) -> DataFrame:
@@ -65,6 +66,13 @@ def custom_value(value: Column, kind: str) -> Column:
     return F.struct(*[(value if k == kind else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
 
 
+POINTS = "id long, vector array<float>, source string, tags array<string>, text string, removed boolean, seq long"
+
+
+def by_source(points: DataFrame, source: str) -> DataFrame:
+    return points.where(F.col("source") == source).select("id")
+
+
 class Store:
     """Collections of point tables under one root; each is <root>/collections/<name> with config.json beside its parts."""
 
@@ -123,7 +131,7 @@ class Store:
 
     def versions(self, name: str) -> DataFrame:
         self.config(name)
-        return self.spark.read.schema("id long, vector array<float>, source string, tags array<string>, text string, removed boolean, seq long").parquet(f"{self._path(name)}/points")
+        return self.spark.read.schema(POINTS).parquet(f"{self._path(name)}/points")
 
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").option("compression", "zstd").parquet(f"{self._path(name)}/points")
@@ -139,6 +147,26 @@ class Store:
         self._append(name, rows.where(fits).select("id", F.col("vector").cast("array<float>"), "source", "tags", "text", F.lit(False).alias("removed"), F.lit(seq).cast("long").alias("seq")))
         return rows.where(~fits)
 
+    def insert_embedded(self, name: str, rows: DataFrame, embed: Callable[[Column], Column], most_bytes: int = 8000) -> DataFrame:
+        """Upsert id, source, tags, text with the vectors that embed(text column) gives of the first most_bytes bytes."""
+        return self.insert(name, rows.withColumn("vector", embed(T.clipped(F.coalesce("text", F.lit("")), most_bytes))))
+
+    def bulk_load(self, name: str, path: str) -> None:
+        """Parquet files with the columns of a point table become its points as they are, without checks of single rows."""
+        if (found := self.spark.read.parquet(path).columns) != [f.split()[0] for f in POINTS.split(", ")]:
+            raise InvalidArgument(f"columns {found}")
+        self._append(name, self.spark.read.schema(POINTS).parquet(path))
+
+    def save_sq8(self, name: str, params: DataFrame) -> None:
+        """Quantisation parameters (pos, low, range) beside the points."""
+        params.select("pos", "low", "range").coalesce(1).write.mode("overwrite").parquet(f"{self._path(name)}/sq8")
+
+    def sq8(self, name: str) -> DataFrame:
+        fs, p = self._fs(f"{self._path(name)}/sq8")
+        if not fs.exists(p):
+            raise NotFound(f"{name} has no quantisation parameters")
+        return self.spark.read.schema("pos int, low double, range double").parquet(str(p))
+
     def remove(self, name: str, id_: int) -> None:
         if self.points(name).where(F.col("id") == id_).isEmpty():
             raise NotFound(str(id_))
@@ -191,4 +219,71 @@ def related_entries(entries: DataFrame, symbol: str) -> DataFrame:
     return entries.where((F.col("symbol") == symbol) | F.array_contains("related", symbol))
 
 
+ENTRY = (
+    "symbol string, decision string, why string, constraints array<string>, rejected array<struct<approach:string,reason:string,condition:string>>, "
+    "history array<struct<action:string,date:string,note:string,failure:string,fix:string,root_cause:string,resolved:boolean,commit:string>>, "
+    "file_path string, line_range array<long>, related_symbols array<string>"
+)
+
+
+class Reasons:
+    """Decision records by symbol: versions in one table, of which the last counts; a deleted symbol has a last version without content."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.path = spark, f"{root.rstrip('/')}/reasons"
+
+    def _versions(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        schema = f"{ENTRY}, removed boolean, seq long"
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def list(self) -> DataFrame:
+        """All records, by symbol."""
+        return latest(self._versions(), "symbol", "seq").where("NOT removed").drop("removed", "seq").orderBy("symbol")
+
+    def load(self, symbol: str) -> DataFrame:
+        return self.list().where(F.col("symbol") == symbol)
+
+    def at(self, file: str, line: int) -> DataFrame:
+        """Records of the symbols at a place."""
+        return self.list().where((F.col("file_path") == file) & (F.get("line_range", F.lit(0)) <= line) & (F.get("line_range", F.lit(1)) >= line))
+
+    def _put(self, entries: DataFrame, removed: bool) -> None:
+        seq = (self._versions().agg(F.max("seq")).first()[0] or 0) + 1
+        columns = [f.split()[0] for f in ENTRY.split(", ")]
+        self.spark.createDataFrame([], ENTRY).unionByName(entries.select(*columns)).withColumn("removed", F.lit(removed)).withColumn("seq", F.lit(seq).cast("long")).write.mode("append").parquet(self.path)
+
+    def save(self, entries: DataFrame) -> None:
+        """Records replace those of the same symbols."""
+        self._put(entries, False)
+
+    def delete(self, symbol: str) -> bool:
+        found = settled(self.load(symbol), "reason")
+        if found.isEmpty():
+            return False
+        self._put(found, True)
+        return True
+
+
+def _last_open(history: Column) -> Column:
+    """Places (from 0) of unresolved failures; the last one is the one to settle."""
+    opened = F.filter(F.transform(history, lambda x, i: F.when(x.failure.isNotNull() & ~F.coalesce(x.resolved, F.lit(False)), i)), lambda i: i.isNotNull())
+    return F.array_max(opened)
+
+
+def resolve_last_failure(entries: DataFrame, invalidated: str | None = None) -> DataFrame:
+    """The last unresolved failure of each history is marked as resolved, or with a reason as invalid in its note too; settled tells whether there was one."""
+    at = _last_open(F.col("history"))
+
+    def mark(x: Column, i: Column) -> Column:
+        done = x.withField("resolved", F.lit(True))
+        if invalidated is not None:
+            done = done.withField("note", F.concat_ws(" ", F.lit(f"[INVALIDATED: {invalidated}]"), x.note))
+        return F.when(i == at, done).otherwise(x)
+
+    return entries.withColumn("settled", at.isNotNull()).withColumn("history", F.when(F.col("settled"), F.transform("history", mark)).otherwise(F.col("history")))
+
+
 Embedder = Callable[[Column], Column]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.operators import clones as C, graph as G
+from larkspur.checkpoints import reused, settled
 from larkspur.plans.retrieval import table
 
 QUERIES: dict = {}
@@ -147,9 +148,9 @@ sigs AS (SELECT id, [{_LEAST}] AS sig FROM mf), cls AS (SELECT sig, min(id) AS r
 
 
 def _signatures(spark, sf_dir) -> DataFrame:
-    from larkspur.checkpoints import settled
-
-    return settled(C.signatures(table(spark, sf_dir, "documents"), "doc_id", "text"), "signatures")
+    """Signatures of all documents, made once in an application while the table's files stay the same."""
+    docs = table(spark, sf_dir, "documents")
+    return reused(docs, ("minhash", sf_dir), lambda: settled(C.signatures(docs, "doc_id", "text"), "signatures"))
 
 
 @query(f"WITH {_SIGS} SELECT id, md5(array_to_string(sig, ',')) AS sig_md5, rep AS class_id FROM sigs JOIN cls USING (sig)")
@@ -179,17 +180,31 @@ def hash_clone_groups(spark, sf_dir):
     return C.hash_groups(d, "doc_id", "h")
 
 
-@query(f"""WITH {_SIGS}, v AS (SELECT rep, p, sig[p] AS v FROM cls, range(1, 65) r(p)), tp AS (SELECT x.rep AS a, y.rep AS b, count(*) / 64.0::DOUBLE AS j FROM v x JOIN v y ON x.p = y.p AND x.v = y.v AND x.rep < y.rep GROUP BY ALL HAVING count(*) >= 20),
-g AS (SELECT rep, md5(array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ')) AS h FROM cls JOIN documents ON doc_id = rep), ap AS (SELECT g.rep AS a, k.first AS b FROM g JOIN (SELECT h, min(rep) AS first FROM g GROUP BY h) k USING (h) WHERE g.rep <> k.first),
-m AS (SELECT coalesce(ap.b, tp.a) AS a, coalesce(ap.a, tp.b) AS b, ap.a IS NOT NULL AS ast, coalesce(j, 0.0) AS j FROM ap FULL JOIN tp ON ap.b = tp.a AND ap.a = tp.b)
-SELECT a, b, greatest(CASE WHEN ast THEN 1.0 ELSE 0.0 END, j)::DOUBLE AS score, j::DOUBLE AS j, CASE WHEN ast AND j >= 0.5 THEN 'AST+Token' WHEN ast THEN 'AST' WHEN j >= 0.5 THEN 'Token' ELSE 'Weak' END AS tag FROM m WHERE greatest(CASE WHEN ast THEN 1.0 ELSE 0.0 END, j) >= 0.4""")
-def unified_clones(spark, sf_dir):
-    """Structure hashes (here of the word set) pair each member with the first of its group, not all with all."""
-    groups, _ = C.classes(_signatures(spark, sf_dir))
+_UNIFIED = f"""{_SIGS}, v AS (SELECT rep, p, sig[p] AS v FROM cls, range(1, 65) r(p)), tp AS (SELECT x.rep AS x, y.rep AS y FROM v x JOIN v y ON x.p = y.p AND x.v = y.v AND x.rep < y.rep GROUP BY ALL HAVING count(*) BETWEEN 20 AND 63),
+hs AS (SELECT doc_id AS id, md5(array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ')) AS h FROM documents WHERE text IS NOT NULL),
+bo AS (SELECT coalesce(hs.id, sigs.id) AS id, h, sig FROM hs FULL JOIN sigs ON hs.id = sigs.id), cl AS (SELECT h, sig, min(id) AS rep FROM bo GROUP BY h, sig),
+me AS (SELECT cl.rep, cl.h, cl.sig, cls.rep AS srep FROM cl LEFT JOIN cls ON cl.sig = cls.sig)"""
+
+
+def _structure(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Structure hashes, here of the word set, and signatures of all documents, in classes."""
     words = F.array_sort(F.array_distinct(F.split(F.lower("text"), " ")))
-    g = groups.select("rep").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rep"), F.md5(F.array_join(words, " ").cast("binary")).alias("h")), "rep")
-    ast = g.join(g.groupBy("h").agg(F.min("rep").alias("first")), "h").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    return C.unified(ast, C.similar_pairs(groups, 20 / 64), 0.4)
+    hashed = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.md5(F.array_join(words, " ").cast("binary")).alias("h"))
+    return C.clone_classes(hashed, _signatures(spark, sf_dir))
+
+
+@query(f"""WITH {_UNIFIED}, pa AS (SELECT f AS a, rep AS b FROM me JOIN (SELECT h, min(rep) AS f FROM cl WHERE h IS NOT NULL GROUP BY h) USING (h) WHERE rep <> f
+  UNION SELECT srep, rep FROM me WHERE rep <> srep UNION SELECT least(p.rep, q.rep), greatest(p.rep, q.rep) FROM tp JOIN me p ON p.srep = tp.x JOIN me q ON q.srep = tp.y),
+sc AS (SELECT a, b, coalesce(p.h = q.h, false) AS ast, CASE WHEN p.sig IS NULL OR q.sig IS NULL THEN 0.0 ELSE len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) / 64.0 END::DOUBLE AS j FROM pa JOIN cl p ON p.rep = a JOIN cl q ON q.rep = b)
+SELECT a, b, greatest(ast::INT::DOUBLE, j) AS score, j, CASE WHEN ast AND j >= 0.5 THEN 'AST+Token' WHEN ast THEN 'AST' WHEN j >= 0.5 THEN 'Token' ELSE 'Weak' END AS tag FROM sc WHERE greatest(ast::INT::DOUBLE, j) >= 0.4""")
+def unified_clones(spark, sf_dir):
+    """Pairs of classes; clone_members has the members of each."""
+    return C.unified(settled(_structure(spark, sf_dir)[0], "classes"), 0.4)
+
+
+@query(f"WITH {_UNIFIED} SELECT id, rep FROM bo JOIN cl ON bo.h IS NOT DISTINCT FROM cl.h AND bo.sig IS NOT DISTINCT FROM cl.sig")
+def clone_members(spark, sf_dir):
+    return _structure(spark, sf_dir)[1]
 
 
 _BLOCKS = "blocks AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'f' || (l_orderkey % 40) AS file, l_orderkey % 500 AS start_line, l_orderkey % 500 + l_quantity::BIGINT AS end_line, l_partkey AS hash, l_orderkey % 500 + l_linenumber AS s, l_orderkey % 500 + l_linenumber + l_suppkey % 30 AS e FROM lineitem)"

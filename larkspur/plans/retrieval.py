@@ -311,14 +311,30 @@ def tags_and(spark, sf_dir):
     return d.where(fusion.has_tags(F.col("tags"), ["lang:en", "src:src0"])).select("doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(c) > 150 THEN NULL ELSE c END AS short, strlen(c) > 150 AS cut FROM (SELECT doc_id, replace(text, chr(10), ' ') AS c FROM documents)""")
+@query("""WITH c AS (SELECT doc_id, replace(text, chr(10), ' ') AS c, 'home/x/' || source AS source FROM documents WHERE text IS NOT NULL), n AS (SELECT *, list_filter(range(30, 151), lambda i: strlen(left(c, i)) <= 150) AS x FROM c)
+SELECT doc_id, CASE WHEN strlen(c) > 150 THEN left(c, list_max(x)) || '...' ELSE c END AS short, substr(source, 8) AS source FROM n""")
 def compact_output(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.compact(F.col("text")).alias("c"), (F.octet_length("text") > 150).alias("cut"))
-    return d.select("doc_id", F.when(~F.col("cut"), F.col("c")).alias("short"), "cut")
+    """Texts on one line, cut between characters at 150 bytes, and paths without the home folder."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", T.compact(F.col("text")).alias("short"), T.without_home(F.concat(F.lit("/home/x/"), "source"), "/home/x").alias("source"))
 
 
-@query("SELECT * FROM (VALUES ('한글 프로그래밍', 'ㅎㄱㅍㄹㄱㄹㅁ', 'ㅎㅏㄴㄱㅡㄹ ㅍㅡㄹㅗㄱㅡㄹㅐㅁㅣㅇ', true, 0.4::DOUBLE), ('대한민국', 'ㄷㅎㅁㄱ', 'ㄷㅐㅎㅏㄴㅁㅣㄴㄱㅜㄱ', false, 0.4::DOUBLE), ('plain', '', 'plain', false, 0.7::DOUBLE)) t(word, first, letters, hit, alpha)")
+_FIRSTS = ", ".join(f"'{c}'" for c in T.CHOSEONG)
+_SECONDS = ", ".join(f"'{c}'" for c in T.JUNGSEONG)
+_LASTS = ", ".join(f"'{c}'" for c in " " + T.JONGSEONG)
+_HANGUL = "lambda c: unicode(c) BETWEEN 44032 AND 55203"
+
+
+@query(f"""WITH w AS (SELECT doc_id, substr(coalesce(text, ''), 1, 0) || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || chr((44032 + doc_id * 7919 % 11172)::INT) || chr((44032 + doc_id * 104729 % 11172)::INT) || 'ㅎ' END AS w FROM documents),
+x AS (SELECT doc_id, w, string_split(w, '') AS s FROM w),
+y AS (SELECT doc_id, w, array_to_string(list_transform(s, lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN ([{_FIRSTS}])[(unicode(c) - 44032) // 588 + 1] WHEN unicode(c) BETWEEN 4352 AND 4607 OR unicode(c) BETWEEN 12593 AND 12686 THEN c ELSE '' END), '') AS first,
+  array_to_string(list_transform(s, lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN ([{_FIRSTS}])[(unicode(c) - 44032) // 588 + 1] || ([{_SECONDS}])[(unicode(c) - 44032) % 588 // 28 + 1] || trim(([{_LASTS}])[(unicode(c) - 44032) % 28 + 1]) ELSE c END), '') AS letters FROM x)
+SELECT doc_id, first, md5(letters) AS letters_md5, contains(first, 'ㅎ') AS hit, CASE WHEN doc_id % 3 = 0 THEN 0.7 ELSE 0.4 END::DOUBLE AS alpha FROM y""")
 def jamo_choseong(spark, sf_dir):
-    words = spark.createDataFrame([("한글 프로그래밍",), ("대한민국",), ("plain",)], "word string")
-    w = F.col("word")
-    return words.select("word", T.choseong(w).alias("first"), T.decompose(w).alias("letters"), T.matches_choseong(w, F.lit("ㅎㄱ")).alias("hit"), T.fusion_alpha(w).alias("alpha"))
+    """Letters of whole texts, to two thirds of which syllables from all over the block are added."""
+    k = F.col("doc_id")
+    syllable = lambda n: F.decode(F.unhex(F.hex(44032 + k * n % 11172)), "UTF-16BE")
+    w = F.concat(F.coalesce("text", F.lit("")), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" "), syllable(7919), syllable(104729), F.lit("ㅎ"))))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", w.alias("w")))
+    w = F.col("w")
+    return d.select("doc_id", T.choseong(w).alias("first"), F.md5(T.decompose(w).cast("binary")).alias("letters_md5"), T.matches_choseong(w, F.lit("ㅎ")).alias("hit"), T.fusion_alpha(w).alias("alpha"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
@@ -29,6 +30,17 @@ class QueryCache:
         self.kept.move_to_end(text)
         return self.kept[text]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """What is kept, in the order of its use: at most `size` rows."""
+        rows = [(i, t, [float(x) for x in v]) for i, (t, v) in enumerate(self.kept.items())]
+        spark.createDataFrame(rows, "used int, text string, vector array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    def load(self, spark: SparkSession, path: str) -> None:
+        for r in spark.read.schema("used int, text string, vector array<double>").parquet(path).orderBy("used").collect():
+            self.kept[r["text"]] = list(r["vector"])
+        while len(self.kept) > self.size:
+            self.kept.popitem(last=False)
+
 
 class Search:
     """points has id, vector, text, source and tags; the index is built at the first text query and kept."""
@@ -37,6 +49,15 @@ class Search:
         self.points, self.dim, self.metric, self.tokenizer, self.bigrams, self.length_norm = points, dim, metric, tokenizer, bigrams, length_norm
         self.embed = QueryCache(embed) if embed else None
         self.index: bm25.Index | None = None
+        self.used = time.monotonic()
+
+    def evict(self, embedder_seconds: float = 300, index_seconds: float = 600) -> None:
+        """Drop the kept embeddings and the index if they have not been used for so long; the next search makes them again."""
+        idle = time.monotonic() - self.used
+        if self.embed and idle >= embedder_seconds:
+            self.embed.kept.clear()
+        if idle >= index_seconds:
+            self.index = None
 
     @property
     def spark(self) -> SparkSession:
@@ -45,6 +66,11 @@ class Search:
     def ping(self) -> bool:
         return True
 
+    def update(self, points: DataFrame, removed: DataFrame) -> None:
+        """New and changed points (the columns of `points`) and removed(id) take effect; the index is made again when next needed."""
+        gone = removed.select("id").unionByName(points.select("id")).distinct()
+        self.reload(self.points.join(gone, "id", "left_anti").select(*self.points.columns).unionByName(points.select(*self.points.columns)))
+
     def reload(self, points: DataFrame | None = None) -> None:
         """Forget the index; take other points if given."""
         self.index, self.points = None, points if points is not None else self.points
@@ -79,6 +105,7 @@ class Search:
         """The same for several numbered queries, with qid; ten times k are fused when tags filter afterwards."""
         if self.embed is None:
             raise InvalidArgument("no embedder")
+        self.used = time.monotonic()
         wanted = [*tags, *(["role:prod"] if exclude_tests else [])]
         queries = self.spark.createDataFrame(list(texts.items()), "qid long, qtext string")
         weight = queries.select("qid", F.lit(alpha).cast("double").alias("alpha") if alpha is not None else T.fusion_alpha(F.col("qtext")).alias("alpha"))

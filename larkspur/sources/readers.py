@@ -210,8 +210,12 @@ EDGES = "caller string, caller_file string, caller_kind string, callee string, c
 CHUNKS = "name string, file string, kind string, start_line int, end_line int, signature string, visibility string, is_test boolean"
 
 
-def read_edges(spark: SparkSession, folder: str, crate: str | None = None) -> DataFrame:
-    rows = spark.read.schema(EDGES).option("pathGlobFilter", "*.edges.jsonl").json(folder).withColumn("crate", F.regexp_extract(F.input_file_name(), r"([^/]+)\.edges\.jsonl$", 1))
+def read_edges(spark: SparkSession, folder: str, crate: str | None = None, pattern: str = "*.edges.jsonl") -> DataFrame:
+    """Call edges with their crate: the name of the file before .edges.jsonl, or of the folder crate=<name> it is in."""
+    rows = spark.read.schema(EDGES).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").json(folder)
+    name = F.input_file_name()
+    named, filed = F.regexp_extract(name, r"([^/]+)\.edges\.jsonl$", 1), F.regexp_extract(name, r"/crate=([^/]+)/[^/]*$", 1)
+    rows = rows.withColumn("crate", F.when(named != "", named).otherwise(filed))
     return rows.where(F.col("crate") == crate) if crate else rows
 
 
@@ -219,10 +223,10 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(CHUNKS).option("pathGlobFilter", "*.chunks.jsonl").json(folder)
 
 
-def read_coverage(spark: SparkSession, path: str) -> DataFrame:
-    """filename, covered and total functions of a coverage export."""
+def read_coverage(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """filename, covered and total functions of coverage exports, one a file, or one a line."""
     schema = "data array<struct<files:array<struct<filename:string,summary:struct<functions:struct<count:long,covered:long>>>>>>"
-    files = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("data").alias("d")).select(F.explode("d.files").alias("f"))
+    files = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path).select(F.explode("data").alias("d")).select(F.explode("d.files").alias("f"))
     return files.select("f.filename", F.col("f.summary.functions.covered").alias("covered"), F.col("f.summary.functions.count").alias("total"))
 
 

@@ -75,3 +75,24 @@ def test_symbol_tags_and_unresolved(spark, tmp_path):
 
 def points_by(n, tag):
     return [r.idx for r in n.where(F.array_contains(G.symbol_tags(n), tag)).collect()]
+
+
+def test_cache_eviction_and_update(spark, tmp_path):
+    from larkspur.search import QueryCache
+
+    cache = QueryCache(lambda t: [float(len(t))], 2)
+    for t in ("a", "bb", "a", "ccc"):
+        cache(t)
+    cache.save(spark, f"{tmp_path}/cache")
+    other = QueryCache(lambda t: [-1.0], 2)
+    other.load(spark, f"{tmp_path}/cache")
+    assert other("a") == [1.0] and other("ccc") == [3.0] and other("bb") == [-1.0]
+    points = spark.createDataFrame([(1, [1.0, 0.0], "red fox", "s", ["x"]), (2, [0.0, 1.0], "blue sky", "s", ["x"])], "id long, vector array<double>, text string, source string, tags array<string>")
+    s = Search(points, lambda t: [1.0, 0.0], 2)
+    assert [r.id for r in s.find("sky", 1, alpha=0.0).collect()] == [2] and s.index is not None
+    s.evict()
+    assert s.index is not None and s.embed.kept
+    s.evict(0, 0)
+    assert s.index is None and not s.embed.kept
+    s.update(points.where("id = 1").withColumn("text", F.lit("grey sky")), points.where("id = 2").select("id"))
+    assert [r.id for r in s.find("sky", 5, alpha=0.0).collect()] == [1]

@@ -157,3 +157,100 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     p = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, term string")
     new = I.updated_postings(p, p.where("doc_id = 1"), spark.createDataFrame([(2, "c")], p.schema))
     assert [tuple(r) for r in new.collect()] == [(2, "c")]
+
+
+# ---------------------------------------------------------------- records, dictionaries, small formats
+def test_reasons(spark, tmp_path):
+    s = S.Reasons(spark, str(tmp_path))
+    step = lambda f, done=False: ("modify", "2024-01-01", "was" if f == "b" else None, f, None, None, done, None)
+    rows = [("x::y", "d", "w", ["c"], [("a", "r", None)], [step("a"), step("b"), step("c", True), step(None)], "f.rs", [3, 9], ["z"]), ("z", None, None, None, None, [step(None)], None, None, None)]
+    entries = spark.createDataFrame(rows, S.ENTRY)
+    assert s.list().count() == 0 and s.delete("x::y") is False
+    s.save(entries)
+    s.save(entries.where("symbol = 'z'").withColumn("why", F.lit("new")))
+    assert [(r.symbol, r.why) for r in s.list().collect()] == [("x::y", "w"), ("z", "new")]
+    assert [r.symbol for r in s.at("f.rs", 9).collect()] == ["x::y"] and s.at("f.rs", 10).count() == 0
+    marked = {r.symbol: r for r in S.resolve_last_failure(s.list(), "wrong").collect()}
+    assert marked["x::y"].settled and not marked["z"].settled
+    assert [(h.failure, h.resolved, h.note) for h in marked["x::y"].history] == [("a", False, None), ("b", True, "[INVALIDATED: wrong] was"), ("c", True, None), (None, False, None)]
+    assert s.delete("x::y") and [r.symbol for r in s.list().collect()] == ["z"] and s.load("x::y").count() == 0
+
+
+def test_dictionary_errors(spark):
+    from larkspur.functions import text as T
+
+    lines = spark.createDataFrame([("a,b,c,d",)], "l string")
+    with pytest.raises(Exception, match="bad dictionary entry"):
+        lines.select(T.dictionary_entry(F.col("l"))).collect()
+
+
+@pytest.mark.parametrize("text", ["", "abc", "é" * 9, "aé" * 7, "日本語テキスト", "a😀b😀c", "�x�y"])
+def test_clipped_at_every_length(spark, text):
+    from larkspur.functions import text as T
+
+    df = spark.createDataFrame([(text,)], "t string")
+    for most in range(1, 12):
+        want, size = "", 0
+        for c in text:
+            size += len(c.encode())
+            if size > most:
+                break
+            want += c
+        r = df.select(T.clipped(F.col("t"), most).alias("c"), T.truncated(F.col("t"), most).alias("d")).first()
+        assert (r.c, r.d) == (want, text if len(text.encode()) <= most else want + "...")
+
+
+def test_xorshift_and_levels(spark):
+    from larkspur.functions import formats as M
+
+    def slow(x):
+        mask = (1 << 64) - 1
+        x = x or 1
+        x ^= x << 13 & mask
+        x ^= x >> 7
+        return x ^ (x << 17 & mask)
+
+    for state in (0, 1, 42, 2**63 - 1, -5):
+        got = spark.range(1).select(M.xorshift(F.lit(state).cast("long")).alias("x")).first().x
+        assert got & (2**64 - 1) == slow(state & (2**64 - 1))
+    u = spark.createDataFrame([(1.0,), (0.06,), (1e-300,)], "u double")
+    assert [r.x for r in u.select(M.level(F.col("u")).alias("x")).collect()] == [0, 1, 249]
+
+
+def test_offset_tokens_are_places_in_bytes(spark):
+    from larkspur.functions import text as T
+
+    df = spark.createDataFrame([(1, " Ab  é日 x\t"), (2, None), (3, "")], "id long, t string")
+    raw = " ab  é日 x\t".encode()
+    got = T.offset_tokens(df, "id", "t").collect()
+    assert [(r.id, r.pos, r.token) for r in got] == [(1, 0, "ab"), (1, 1, "é日"), (1, 2, "x")]
+    assert all(raw[r.start : r.end].decode() == r.token for r in got)
+
+
+def test_embedded_store_and_protocols(spark, tmp_path):
+    from larkspur import protocols
+    from larkspur.sources import readers
+
+    s = S.Store(spark, str(tmp_path))
+    assert isinstance(s, protocols.VectorStore) and isinstance(readers.open_reader, protocols.VectorReader)
+    s.create("a", 2)
+    with pytest.raises(Exception, match="quantisation"):
+        s.sq8("a")
+    rows = spark.createDataFrame([(1, "s", ["t"], "é" * 5000), (2, "s", ["t"], None)], "id long, source string, tags array<string>, text string")
+    s.insert_embedded("a", rows, lambda t: F.array(F.octet_length(t).cast("double"), F.lit(1.0)))
+    assert {r.id: list(r.vector) for r in s.points("a").collect()} == {1: [8000.0, 1.0], 2: [0.0, 1.0]}
+    spark.range(1).write.parquet(f"{tmp_path}/bad")
+    with pytest.raises(ValueError):
+        s.bulk_load("a", f"{tmp_path}/bad")
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from larkspur.checkpoints import shared_folder
+
+    none = SimpleNamespace(get=lambda *_: None)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: none, master=master), conf=none)
+        with pytest.raises(RuntimeError):
+            shared_folder(session)
