@@ -157,15 +157,16 @@ def colliding(passed: DataFrame, hot: int = HOT) -> DataFrame:
 
 def _pack(column: pa.Array) -> list[bytes | None]:
     """Each usable vector as doubles; None for the others."""
-    out = []
-    for v in column.to_pylist():
-        if not v or any(c is None for c in v):
-            out.append(None)
-            continue
-        x = np.array(v, dtype=np.float64)
-        top = float(np.abs(x).max()) if np.isfinite(x).all() else 0.0
-        out.append(x.tobytes() if top > 0 else None)
-    return out
+    ends = np.asarray(column.offsets)
+    values = column.values.cast(pa.float64())
+    null = np.asarray(values.is_null())
+    x = np.asarray(values.fill_null(0.0))
+    upto = np.zeros((2, len(x) + 1), np.int64)  # components that forbid a vector, and those that make it one
+    np.cumsum(null | ~np.isfinite(x), out=upto[0, 1:])
+    np.cumsum(x != 0, out=upto[1, 1:])
+    bad, good = upto[:, ends[1:]] - upto[:, ends[:-1]]
+    usable = (bad == 0) & (good > 0) & np.asarray(column.is_valid())
+    return [x[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), usable.tolist(), strict=True)]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
