@@ -34,7 +34,7 @@ def unit(v: Column) -> Column:
 def hashed(text: Column, dim: int = 64, tokenizer: str = "simple") -> Column:
     """A deterministic unit vector: each token adds a sign to one of `dim` places."""
     tokens = T.TOKENIZERS[tokenizer](F.coalesce(text, F.lit("")))
-    h = F.transform(tokens, lambda t: F.xxhash64(t))
+    h = F.transform(tokens, lambda t: T.content_key(t))
     zero = F.array_repeat(F.lit(0.0), dim)
     places = F.transform(h, lambda x: F.struct(F.pmod(x, F.lit(dim)).cast("int").alias("p"), F.when(F.shiftright(x, 32) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
     return unit(F.aggregate(places, zero, lambda acc, q: F.transform(acc, lambda v, i: F.when(i == q.p, v + q.s).otherwise(v))))

@@ -10,6 +10,7 @@ from larkspur.checkpoints import shared_folder
 from larkspur.functions import embed
 from larkspur.operators import store as S
 from larkspur.plans.retrieval import table
+from larkspur.session import spread
 from larkspur.sources import readers as R
 from larkspur.streaming import incremental as I
 
@@ -115,7 +116,13 @@ def language_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), lambda x: x <> '')) AS w FROM conversations),
+h AS (SELECT conv_id, turn, ('0x' || substr(md5(w), 1, 15))::BIGINT AS h FROM t), p AS (SELECT conv_id, turn, h % 16 AS p, sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY ALL),
+n AS (SELECT conv_id, turn, sum(p * x) AS a, sum(CASE WHEN p = 3 THEN x ELSE 0 END) AS b, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM p GROUP BY ALL)
+SELECT conv_id, turn, 16 AS dim, round(coalesce(a / n, 0), 6) + 0.0 AS weighed, round(coalesce(b / n, 0), 6) + 0.0 AS third FROM conversations LEFT JOIN n USING (conv_id, turn)""")
 def hashed_embeddings(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", embed.hashed(F.col("text"), 16).alias("vector"))
+    v = F.col("v")
+    weighed = F.aggregate(F.transform(v, lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    made = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", embed.hashed(F.col("text"), 16).alias("v"))
+    return made.select("conv_id", "turn", F.size("v").alias("dim"), (F.round(weighed, 6) + 0.0).alias("weighed"), (F.round(F.get(v, F.lit(3)), 6) + 0.0).alias("third"))
 

@@ -96,3 +96,16 @@ def test_cache_eviction_and_update(spark, tmp_path):
     assert s.index is None and not s.embed.kept
     s.update(points.where("id = 1").withColumn("text", F.lit("grey sky")), points.where("id = 2").select("id"))
     assert [r.id for r in s.find("sky", 5, alpha=0.0).collect()] == [1]
+
+
+def test_sql_names_of_code_functions(spark):
+    from larkspur.functions import text as T
+    from larkspur.operators import clones as C
+
+    sql.register(spark)
+    texts = ["fn parseHTTPResponse2(x_y: &str) { let isOk = 'a\\n'; }", "/* gone */ a b c d e f 12 g h i # no\n# line\nx // tail\ny", "short", None, "a" + " tok_1" * 30 + " 99 /* open"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = df.selectExpr("id", "t", "code_tokens(t) AS c", "minhash64(t) AS m").select("*", T.code_tokens(F.col("t")).alias("w"))
+    sigs = {r.id: r.sig for r in C.signatures(df, "id", "t").collect()}
+    rows = got.collect()
+    assert all(r.c == r.w for r in rows) and {r.id: r.m for r in rows if r.m} == sigs and len(sigs) == 2
