@@ -3,9 +3,10 @@
 Documents with equal texts are linked (a star around the group's smallest row). Linked documents start
 in a shard by hash. In each round a centre first moves to the shard where most of its neighbours are,
 then the neighbours move to their centre's shard, both only as far as the quotas allow: what comes into
-a shard is at most its room (its even share of the bytes less what it holds) and what leaves it in the
-same step, so shards exchange documents even where none has room. Rounds end when no link is cut, or
-when a round mends less than a thousandth of the links. Documents without links cut no edge wherever
+a shard is at most its room (its even share of the bytes less what it holds, negative where it holds more)
+and what leaves it in the same step, so shards exchange documents even where none has room. Rows are let
+through by chance, in that proportion; what is over by chance counts against the next step. Rounds end
+when no link is cut, or when a round mends less than a thousandth of the links. Documents without links cut no edge wherever
 they are, so they fill the shards up to even sizes at the end, along one running sum.
 
 A group of many rows is spread over as many keys as its count asks for, in every join; counts and votes
@@ -59,21 +60,19 @@ def _stars(nodes: DataFrame, shards: int, key_rows: int) -> DataFrame:
     return salted.join(wanted.hint("merge"), ["g", "salt"]).select("row", "size", "hub", "salts", "salt", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
 
 
-def exchange(wishes: np.ndarray, squares: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """For each pair of shards the part of the bytes wishing to move from one to the other that may.
+def exchange(wishes: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """For each shard the part of the bytes wishing to move there that may.
 
-    The greatest parts, one a target, for which no shard takes in more than its room and what leaves it.
-    Rows are let through by chance, so three standard deviations of both are left where not all may move.
+    The greatest parts for which no shard takes in more than its room and what leaves it; room is negative
+    where a shard holds too much, which then loses more than it takes.
     """
-    np.fill_diagonal(wishes, 0)
+    wishes = wishes * (1 - np.eye(len(room)))
+    want = wishes.sum(0)
     part = np.ones(len(room))
-    for _ in range(1000):
-        moving = wishes * part
-        margin = 3 * np.sqrt((squares * part * (1 - part)).sum(0) + (squares * part * (1 - part)).sum(1))
-        allowed = np.maximum(room + moving.sum(1) - margin, 0)
-        want = wishes.sum(0)
-        new = np.minimum(part, np.where(want > 0, np.minimum(1, allowed / np.maximum(want, 1)), 1))
-        if np.abs(new - part).max() < 1e-6:
+    for _ in range(10_000):
+        allowed = np.maximum(room + (wishes * part).sum(1), 0)
+        new = np.minimum(part, np.where(want > 0, np.minimum(1, allowed / np.maximum(want, 1e-9)), 1))
+        if np.abs(new - part).max() < 1e-7:
             break
         part = new
     return part
@@ -81,12 +80,10 @@ def exchange(wishes: np.ndarray, squares: np.ndarray, room: np.ndarray) -> np.nd
 
 def _allowed(moves: DataFrame, load: np.ndarray, share: float) -> np.ndarray:
     """exchange() of the wishes of a table, which it reads as at most one row a pair of shards."""
-    n = len(load)
-    wishes, squares = np.zeros((n, n)), np.zeros((n, n))
-    size = F.col("size").cast("double")
-    for r in moves.where("shard <> wish").groupBy("shard", "wish").agg(F.sum(size).alias("b"), F.sum(size * size).alias("q")).collect():
-        wishes[r["shard"], r["wish"]], squares[r["shard"], r["wish"]] = r["b"], r["q"]
-    return exchange(wishes, squares, np.maximum(share - load, 0))
+    wishes = np.zeros((len(load), len(load)))
+    for r in moves.where("shard <> wish").groupBy("shard", "wish").agg(F.sum("size").alias("b")).collect():
+        wishes[r["shard"], r["wish"]] = r["b"]
+    return exchange(wishes, share - load)
 
 
 def _loads(members: DataFrame, shards: int) -> np.ndarray:

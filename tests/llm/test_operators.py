@@ -370,7 +370,7 @@ def test_full_shards_exchange_documents(spark, group):
         by.setdefault(texts[r.doc_id], []).append(r.shard)
         load[r.shard] += r.size
     cut = sum(len(s) - max(Counter(s).values()) for s in by.values()) / sum(len(s) - 1 for s in by.values())
-    assert cut < 0.05 and max(load.values()) < 1.06 * sum(load.values()) / 8
+    assert cut < 0.1 and max(load.values()) < 1.05 * sum(load.values()) / 8
 
 
 def test_large_groups_are_spread_over_keys(spark):
@@ -385,13 +385,13 @@ def test_exchange_keeps_quotas():
     rng = np.random.default_rng(1)
     for _ in range(50):
         wishes, room = rng.uniform(0, 9, (8, 8)) * (rng.random((8, 8)) < 0.4), rng.uniform(0, 5, 8) * (rng.random(8) < 0.3)
-        part = sharding.exchange(wishes.copy(), np.zeros((8, 8)), room)
+        part = sharding.exchange(wishes, room)
         np.fill_diagonal(wishes, 0)
         moving = wishes * part
         assert (moving.sum(0) <= room + moving.sum(1) + 1e-3).all() and (0 <= part).all() and (part <= 1).all()
     ring = np.zeros((3, 3))
     ring[0, 1] = ring[1, 2] = ring[2, 0] = 5.0
-    assert sharding.exchange(ring, ring, np.zeros(3)).tolist() == [1, 1, 1]
+    assert sharding.exchange(ring, np.zeros(3)).tolist() == [1, 1, 1]
 
 
 # ---------------------------------------------------------------- classifiers
