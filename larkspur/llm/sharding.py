@@ -3,8 +3,8 @@
 Documents with equal texts are linked (a star around the group's smallest row). Linked documents start
 in a shard by hash. In each round a centre first moves to the shard where most of its neighbours are,
 then the neighbours move to their centre's shard, both only as far as the quotas allow: what comes into
-a shard is at most its room (its even share of the bytes less what it holds, negative where it holds more)
-and what leaves it in the same step, so shards exchange documents even where none has room. Rows are let
+a shard is at most its room (its quota, a hundredth over its even share of the bytes, less what it holds;
+negative where it holds more) and what leaves it in the same step, so shards exchange documents even where none has room. Rows are let
 through by chance, in that proportion; what is over by chance counts against the next step. Rounds end
 when no link is cut, or when a round mends less than a thousandth of the links. Documents without links cut no edge wherever
 they are, so they fill the shards up to even sizes at the end, along one running sum.
@@ -30,6 +30,8 @@ from .common import cut, remove
 SHARDS = 8
 #: Rows of a group that are one key of a join, at least; groups of more are at most HEAVY_GROUPS.
 KEY_ROWS, HEAVY_GROUPS = 250_000, 10_000
+#: A shard's quota while documents move, in even shares.
+QUOTA = 1.01
 
 
 def _unit(*of: Column) -> Column:
@@ -78,12 +80,12 @@ def exchange(wishes: np.ndarray, room: np.ndarray) -> np.ndarray:
     return part
 
 
-def _allowed(moves: DataFrame, load: np.ndarray, share: float) -> np.ndarray:
+def _allowed(moves: DataFrame, load: np.ndarray, quota: float) -> np.ndarray:
     """exchange() of the wishes of a table, which it reads as at most one row a pair of shards."""
     wishes = np.zeros((len(load), len(load)))
     for r in moves.where("shard <> wish").groupBy("shard", "wish").agg(F.sum("size").alias("b")).collect():
         wishes[r["shard"], r["wish"]] = r["b"]
-    return exchange(wishes, share - load)
+    return exchange(wishes, quota - load)
 
 
 def _loads(members: DataFrame, shards: int) -> np.ndarray:
@@ -105,14 +107,14 @@ def propagate(members: DataFrame, share: float, shards: int = SHARDS, least: flo
         hubs = now.where("row = hub").select("hub", "size", "salts", "shard")
         votes = now.where("row <> hub").groupBy("hub", "shard").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("top"))
         wishes, wish_path = cut(hubs.join(votes, "hub").select("hub", "size", "salts", "shard", (-F.col("top.s")).alias("wish")), "wishes")
-        part = _allowed(wishes, load, share)
+        part = _allowed(wishes, load, QUOTA * share)
         follow = _unit(F.col("hub"), F.lit(2 * r)) < _pick(F.col("wish"), part.tolist())
         centres = wishes.select("hub", "salts", F.when(follow, F.col("wish")).otherwise(F.col("shard")).alias("wish"))
         # every member meets its centre's label by (hub, salt), so no large group meets in one task; the planner
         # does not see that rows were multiplied, hence the hint against a broadcast
         spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         wishing, wishing_path = cut(now.join(spread.hint("merge"), ["hub", "salt"]).select("row", "size", "hub", "salts", "salt", F.when(F.col("row") == F.col("hub"), F.col("wish")).otherwise(F.col("shard")).alias("shard"), "wish"), "wishing")
-        part = _allowed(wishing, _loads(wishing, shards), share)
+        part = _allowed(wishing, _loads(wishing, shards), QUOTA * share)
         go = (F.col("shard") != F.col("wish")) & (_unit(F.col("row"), F.lit(2 * r + 1)) < _pick(F.col("wish"), part.tolist()))
         new, new_path = cut(wishing.select("row", "size", "hub", "salts", "salt", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard"), (go | (F.col("shard") == F.col("wish"))).alias("joined")), "labels")
         state = new.agg(F.count("*").alias("n"), F.count_if(~F.col("joined")).alias("cut")).first()
