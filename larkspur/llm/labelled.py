@@ -1,4 +1,4 @@
-"""The bounded, labelled training sample that both classifiers use."""
+"""Labels that may be learnt from, and the bounded training sample of the toxicity model."""
 
 from __future__ import annotations
 
@@ -10,6 +10,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def known(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """(doc_id, y) of all labelled ids that are not held out; null ids and labels are left out, and an id labelled twice counts once, with its larger label."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int) -> DataFrame:
     """(text, y) of at most max_rows labelled documents per class, by hash of the id, held-out rows left out.
 
@@ -18,12 +25,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     the training task has a bound in bytes too. Null ids and labels are left out; an id labelled twice counts
     once, with its larger label; rows that share an id are all in the sample.
     """
-    rows = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
-        .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .withColumn("o", F.xxhash64("doc_id"))
-    )
+    rows = known(labels, label, modulus, held).withColumn("o", F.xxhash64("doc_id"))
     # One take-ordered per class: no class's rows are brought together.
     chosen = rows.where("y = 0").orderBy("o").limit(max_rows).unionByName(rows.where("y = 1").orderBy("o").limit(max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -534,6 +534,48 @@ def test_bradley_terry_orders_pairs():
     assert (good[:, None] > bad).mean() > 0.97
 
 
+def test_every_pair_of_good_and_bad_rows_counts():
+    """At the weights of a least loss over all pairs the slope, summed pair by pair, is zero; 20,000 pairs would not give that."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, quality.N_FEATURES)) * np.linspace(0.1, 5, quality.N_FEATURES)
+    y = (x @ np.linspace(-1, 1, quality.N_FEATURES) + 4 * rng.standard_normal(500) > -3).astype(int)
+    m = quality.bradley_terry(x, y, quality.Settings())
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
+    gap = (z[y == 1][:, None] - z[y == 0]).reshape(-1, quality.N_FEATURES)
+    assert len(gap) > 20_000
+    assert np.abs(quality.Settings().l2 * m.weight - gap.T @ (1 / (1 + np.exp(gap @ m.weight))) / len(gap)).max() < 1e-12
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_scores_of_a_rank_over_parts(ties):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, quality.N_FEATURES))
+    x = np.sign(x[:, :1]) * np.ones(quality.N_FEATURES) if ties else x
+    m = quality.Model(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), np.linspace(-1, 2, quality.N_FEATURES), 0.0, 1.0, 0.3)
+    parts = [x[i : i + 70] for i in range(0, 300, 70)]
+    found = [quality.score_at(lambda f: [f(p, None) for p in parts], m, k) for k in (0, 1, 150, 299)]
+    assert found == np.sort(m.raw(x))[[0, 1, 150, 299]].tolist()
+
+
+def test_all_labelled_rows_make_the_quality_model(spark, monkeypatch):
+    """More than 3,000 rows a class and a text of over a megabyte, in several parts; what order they lie in does not matter."""
+    monkeypatch.setattr(quality, "ROWS", 1000)
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choices(["ab", "Cde", "f,", "12", "g\n", "hij#"], k=rng.randint(1, 12))), int(rng.random() < 0.9)) for i in range(4500)] + [(5002, "wo1 " * 400_000, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    import pyarrow as pa
+
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0]
+    assert known[-1][0] == 5002 and sum(y for _, _, y in known) > 3000
+    x, y = quality.statistics(pa.array([t for _, t, _ in known])), np.array([y for _, _, y in known])
+    want = quality.threshold_by_quantile(quality.bradley_terry(x, y, quality.Settings()), x, y, np.ones(len(x)))
+    got, again = quality.fit(docs, labels), quality.fit(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(3))
+    for name in ("mean", "scale", "weight", "cut", "spread"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9, atol=1e-12), name
+        assert np.array_equal(getattr(got, name), getattr(again, name)), name
+
+
 def test_text_buffer_of_slices():
     import pyarrow as pa
 
