@@ -684,6 +684,29 @@ def test_pipeline_stages_against_their_definitions(spark, tmp_path):
     assert sum(p.startswith("stage-") for p in made) == 4 and not any(p.startswith(("packets", "replies", "prints")) for p in made)  # only the last stage's own are left
 
 
+def test_quality_stage_cuts_at_the_quantile_of_all_labelled_rows(spark, tmp_path):
+    """More than 3,000 labelled rows of each class, whose labels the statistics tell only roughly: the rows kept are those above the cut of all of them."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(8800):
+        marks = rng.random()
+        text = " ".join(f"{rng.choice('abcdefgh') * rng.randint(1, 9)}{'#' if rng.random() < marks else ''}" for _ in range(rng.randint(5, 40)))
+        rows.append((i, text, int(marks + rng.gauss(0, 0.3) < 0.5)))
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    x, y = quality.statistics(pa.array([t for _, t, _ in rows])), np.array([y for _, _, y in rows])
+    known = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows])
+    assert min((y[known] == 0).sum(), (y[known] == 1).sum()) > 3000
+    m = quality.bradley_terry(x[known], y[known], quality.Settings())
+    m = quality.threshold_by_quantile(m, x[known], y[known], np.ones(known.sum()))
+    assert (m.raw(x[known]) < m.cut).sum() == (y[known] == 0).sum()
+    kept = corpus_pipeline.keep_good(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == np.flatnonzero(m.raw(x) >= m.cut).tolist()
+
+
 def test_queries_keep_their_contracts(spark, tmp_path):
     """The columns and types of each query on a table with nulls, repeats and clashing columns; folds and thresholds of the scores."""
     from larkspur.llm import queries
