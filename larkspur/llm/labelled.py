@@ -1,4 +1,4 @@
-"""Labels that may be learnt from, and the bounded training sample of the toxicity model."""
+"""Labels that may be learnt from, and the texts that have them."""
 
 from __future__ import annotations
 
@@ -17,18 +17,12 @@ def known(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int, max_bytes: int) -> DataFrame:
-    """(text, y) of at most max_rows labelled documents per class, by hash of the id, held-out rows left out.
+def texts_of(docs: DataFrame, some: DataFrame, modulus: int, held: int, max_bytes: int) -> DataFrame:
+    """(o, y, text) of all rows whose id is in some = known(...), o being a hash of the id.
 
-    The chosen ids are at most 2 * max_rows rows, which bounds the broadcast; the texts are read where
-    they lie. Labelled texts of more than max_bytes are not trained on (they are scored like any other), so
-    the training task has a bound in bytes too. Null ids and labels are left out; an id labelled twice counts
-    once, with its larger label; rows that share an id are all in the sample.
+    Labelled texts of more than max_bytes are not trained on (they are scored like any other). Rows that
+    share an id are all there. The hint makes tables of any size meet by id, without a broadcast.
     """
-    rows = known(labels, label, modulus, held).withColumn("o", F.xxhash64("doc_id"))
-    # One take-ordered per class: no class's rows are brought together.
-    chosen = rows.where("y = 0").orderBy("o").limit(max_rows).unionByName(rows.where("y = 1").orderBy("o").limit(max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    return texts.join(F.broadcast(chosen.select("doc_id", "y", "o")), "doc_id").select("text", "y", "o")
-
+    texts = texts.where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes))
+    return texts.join(some.hint("merge"), "doc_id").select(F.xxhash64("doc_id").alias("o"), "y", "text")

@@ -576,6 +576,54 @@ def test_all_labelled_rows_make_the_quality_model(spark, monkeypatch):
         assert np.array_equal(getattr(got, name), getattr(again, name)), name
 
 
+def test_shares_of_rows_make_one_toxicity_model(spark, monkeypatch):
+    """One share is plain FTRL over all rows; the states of several are averaged after each epoch, each bearing its part of the penalties."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = [(o, int(rng.random() < 0.4), " ".join(rng.choices([f"wo{i}" for i in range(12)], k=rng.randint(0, 6)))) for o in rng.sample(range(10_000), 90)]
+    frame, rows = spark.createDataFrame(rows, "o long, y int, text string").repartition(3), sorted(rows)
+    x = toxicity.features(pa.array([r[2] for r in rows]))
+    slots = np.unique(np.concatenate(x))
+    s = toxicity.Settings(epochs=4, l1=0.5, min_docs=1)
+    want = toxicity.ftrl([(a, r[1]) for a, r in zip(x, rows, strict=True)], s)
+    got = toxicity.shares_together(frame, len(rows), slots, s)
+    assert np.array_equal(got.slots, want.slots) and np.allclose(got.values, want.values) and got.bias == pytest.approx(want.bias)
+
+    monkeypatch.setattr(toxicity, "FEW_ROWS", 30)
+    share = {r.o: r.p for r in frame.select("o", F.pmod(F.hash("o"), F.lit(3)).alias("p")).collect()}
+    assert set(share.values()) == {0, 1, 2}
+    z = n = np.zeros(len(slots) + 1)
+    for _ in range(s.epochs):
+        own = [toxicity.State(len(slots), s, 1 / 3) for _ in range(3)]
+        for k, state in enumerate(own):
+            state.z, state.n = z.copy(), n.copy()
+            state.epoch((np.searchsorted(slots, a), r[1]) for a, r in zip(x, rows, strict=True) if share[r[0]] == k)
+        z, n = np.mean([state.z for state in own], 0), np.mean([state.n for state in own], 0)
+    own[0].z, own[0].n = z, n
+    want, got = own[0].weights(slots), toxicity.shares_together(frame, len(rows), slots, s)
+    assert np.array_equal(got.slots, want.slots) and np.allclose(got.values, want.values) and got.bias == pytest.approx(want.bias) and len(want.slots) > 5
+
+
+def test_toxicity_stage_learns_from_all_labelled_rows(spark, tmp_path):
+    """A word that only labelled toxic rows beyond the first 3,000 of their class have is learnt; what order rows lie in does not matter."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    toxic = {i: int(rng.random() < 0.5) for i in range(12_000)}
+    order = [r.doc_id for r in spark.range(12_000).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id")).collect() if toxic[r.doc_id] and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    early = set(order[:3000])
+    assert len(order) > 3500
+    word = {i: "" if not toxic[i] else "early" if i in early else "late" for i in toxic}
+    rows = [(i, " ".join([*rng.choices([f"wo{k}" for k in range(50)], k=rng.randint(3, 8)), word[i]])) for i in toxic]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {i for i in toxic if not toxic[i]}
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(3))
+    assert np.array_equal(a.slots, b.slots) and np.array_equal(a.values, b.values) and a.bias == b.bias
+
+
 def test_text_buffer_of_slices():
     import pyarrow as pa
 
