@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -87,7 +88,7 @@ def filtered(df: DataFrame, text: str, mask) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(mask(b.column(at))))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -131,27 +132,56 @@ def spans(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]
 
 
 class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand and kept by the worker."""
+    """Powers of an odd base modulo 2**64, grown on demand; of more than KEPT none outlive a task that is `released`."""
 
     def __init__(self, base: int) -> None:
-        self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, U64)
+        self.base, self.inverse = U64(base), pow(base, -1, 1 << 64)
+        self.up = np.ones(1, U64)
 
-    def grow(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def grow(self, n: int) -> np.ndarray:
         if len(self.up) <= n:
-            size = max(n + 1, 1 << 16)
-            up, down = np.full(size, self.base, U64), np.full(size, self.inverse, U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-        return self.up, self.down
+            up = np.full(max(n + 1, 1 << 16), self.base, U64)
+            up[0] = 1
+            self.up = np.cumprod(up, dtype=U64, out=up)
+        return self.up
+
+    def shifted(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """x * base**-place, from the powers grown so far: base**-i is base**(last - i) * base**-last."""
+        last = len(self.up) - 1
+        return x * self.up[last - place] * U64(pow(self.inverse, last, 1 << 64))
 
 
 POWERS, POWERS_2 = Powers(BASE), Powers(BASE_2)
+#: Powers that a worker keeps from task to task: enough for runs of `spans`.
+KEPT = (2 << 20) + 2
+
+
+def give_back() -> None:
+    """Drop the powers of longer texts, and return to the system what the worker has freed."""
+    for powers in (POWERS, POWERS_2):
+        if len(powers.up) > KEPT:
+            powers.up = np.ones(1, U64)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with `give_back` at the end of its task: workers outlive stages, and idle ones count as memory of their executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 def prefix_hash(data: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """H with H[i] = sum of (data[k] + 1) * base**k over k < i, modulo 2**64."""
-    up, _ = powers.grow(len(data) + 1)
+    up = powers.grow(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
     term = data.astype(U64)
     term += U64(1)
@@ -162,8 +192,8 @@ def prefix_hash(data: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
 
 def window_hash(h: np.ndarray, start: np.ndarray, stop: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """Position-independent, mixed hashes of data[start:stop], lengths included."""
-    _, down = powers.grow(len(h))
-    return mix(((h[stop] - h[start]) * down[start]) ^ (U64(0x632BE59BD9B4E019) * (stop - start).astype(U64)))
+    powers.grow(len(h))
+    return mix(powers.shifted(h[stop] - h[start], start) ^ (U64(0x632BE59BD9B4E019) * (stop - start).astype(U64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

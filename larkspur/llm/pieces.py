@@ -131,7 +131,7 @@ class Lattices:
 
     @staticmethod
     def _hash(code: np.ndarray) -> np.ndarray:
-        up, _ = POWERS.grow(len(code) + 1)
+        up = POWERS.grow(len(code) + 1)
         out = np.zeros(len(code) + 1, U64)
         np.cumsum((code.astype(U64) + U64(1)) * up[: len(code)], out=out[1:])
         return out

@@ -29,7 +29,7 @@ import pyarrow as pa
 from numpy.polynomial import chebyshev
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bounded_batches, cut, filtered, gathered, prefix_hash, remove, spans, text_buffer, window_hash
+from .common import U64, bounded_batches, cut, filtered, gathered, prefix_hash, released, remove, spans, text_buffer, window_hash
 from .labelled import known, remainder
 from .textfeat import LOWER, WORD, words
 
@@ -282,7 +282,7 @@ def labelled_parts(docs: DataFrame, labels: DataFrame, modulus: int, held: int)
             y, x = b.column(1).to_numpy(zero_copy_only=False).astype(np.int8), b.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0)[:1], pa.array([k], pa.int32()), pa.array([y.tobytes()], pa.binary()), pa.array([b"".join(x)], pa.binary())], ["h", "k", "y", "x"])
 
-    rows = texts.mapInArrow(extract, "doc_id long, x binary").join(some, "doc_id").select(F.xxhash64("doc_id", "x").alias("h"), "y", "x")
+    rows = texts.mapInArrow(released(extract), "doc_id long, x binary").join(some, "doc_id").select(F.xxhash64("doc_id", "x").alias("h"), "y", "x")
     rows = rows.repartition(-(-some.count() // ROWS) or 1, "h").sortWithinPartitions("h", "y", "x")
     table, path = cut(rows.mapInArrow(pack, "h long, k int, y binary, x binary"), "labelled")
 

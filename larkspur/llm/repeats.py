@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import POWERS_2, U64, bounded_batches, cut, gathered, prefix_hash, scratch_path, spans, text_buffer, window_hash
+from .common import POWERS_2, U64, bounded_batches, cut, gathered, prefix_hash, released, scratch_path, spans, text_buffer, window_hash
 
 WIDTH = 400
 #: Fifty words of five bytes, the space counted: what a passage of over fifty words has at least in prose.
@@ -328,7 +328,7 @@ def remove_repeats(
 
     path = scratch_path(spark, "packets")
     table = f"packets_{path[-32:]}"  # the two go together
-    made = body.mapInArrow(packets, "bid long, offsets binary, data binary, rest binary")
+    made = body.mapInArrow(released(packets), "bid long, offsets binary, data binary, rest binary")
     made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "bid").saveAsTable(table)
     source = spark.table(table)
     answers: list[DataFrame] = []
@@ -375,7 +375,7 @@ def remove_repeats(
         return answer
 
     for level in range(len(levels) + 1):
-        asked = with_replies(["bid", "offsets", "data"]).mapInArrow(asking(level), "rng int, bid long, names binary")
+        asked = with_replies(["bid", "offsets", "data"]).mapInArrow(released(asking(level)), "rng int, bid long, names binary")
         told, _ = cut(asked.groupBy("rng").applyInArrow(answering(level), "bid long, level int, rng int, mask binary"), f"replies-{level}")
         answers.append(told)
 
@@ -396,4 +396,4 @@ def remove_repeats(
 
     plain = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{n} {plain[kinds[n]]}" for n in names])
-    return with_replies(["bid", "offsets", "data", "rest"]).mapInArrow(finish, fields)
+    return with_replies(["bid", "offsets", "data", "rest"]).mapInArrow(released(finish), fields)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from larkspur.llm import repeats
+from larkspur.llm import common, repeats
 
 
 def slow(texts, width):
@@ -106,3 +106,29 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("v", sorted(repeats.COVERS))
 def test_covers(v):
     assert {(a - b) % v for a in repeats.COVERS[v] for b in repeats.COVERS[v]} == set(range(v))
+
+
+def test_workers_keep_few_powers(spark):
+    """Two widths use both bases; a text of three megabytes is one packet."""
+    text = random.Random(5).randbytes(1_500_000).hex()
+    repeats.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string"), passage=250).count()
+
+    def kept(batches):
+        import pyarrow as pa
+        from larkspur.llm import common
+
+        list(batches)
+        yield pa.record_batch([pa.array([sum(x.nbytes for p in (common.POWERS, common.POWERS_2) for x in vars(p).values() if hasattr(x, "nbytes"))])], ["n"])
+
+    assert max(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()) <= 2 * 8 * (2 << 20) + 64
+
+
+def test_window_hashes_do_not_depend_on_the_powers_grown():
+    data = np.frombuffer(random.Random(6).randbytes(300), np.uint8)
+    start, stop = np.array([0, 7, 123, 299]), np.array([5, 7, 300, 300])
+    for base, powers in ((common.BASE, common.Powers(common.BASE)), (common.BASE_2, common.Powers(common.BASE_2))):
+        word = [sum((int(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(data[a:b])) % (1 << 64) for a, b in zip(start, stop, strict=True)]
+        want = common.mix(np.array(word, np.uint64) ^ (np.uint64(0x632BE59BD9B4E019) * (stop - start).astype(np.uint64)))
+        for n in (1, 70_000):
+            powers.grow(n)
+            assert (common.window_hash(common.prefix_hash(data, powers), start, stop, powers) == want).all()
