@@ -136,7 +136,9 @@ def edges_by_place(nodes: DataFrame, raw: DataFrame) -> DataFrame:
     tried = located.join(files, "asked").select(
         "rid", "file", F.explode(F.array(*[F.struct((F.col("callee_start_line") + d).alias("start_line"), F.lit(p).alias("p")) for p, d in ((0, 0), (1, 1), (2, -1))])).alias("t")
     ).select("rid", "file", F.col("t.start_line").cast("int").alias("start_line"), F.col("t.p").alias("p"))
-    placed = tried.join(nodes.select("file", F.col("start_line").cast("int").alias("start_line"), "idx"), ["file", "start_line"]).groupBy("rid").agg(F.min(F.struct("file", "p", "idx")).alias("b")).select("rid", F.col("b.idx").alias("dst"))
+    # of the nodes of a place only the smallest can win, so a place of many costs no more than one
+    first = nodes.groupBy("file", F.col("start_line").cast("int").alias("start_line")).agg(F.min("idx").alias("idx"))
+    placed = tried.join(first, ["file", "start_line"]).groupBy("rid").agg(F.min(F.struct("file", "p", "idx")).alias("b")).select("rid", F.col("b.idx").alias("dst"))
     rest = near.join(placed, "rid", "left_anti")
     named = edges_by_name(nodes, rest.select("src", F.col("callee"), F.col("line").alias("call_line")))
     return dedup_edges(near.join(placed, "rid").select("src", "dst", F.col("line").alias("call_line")).unionByName(named))

@@ -140,6 +140,16 @@ def test_resolution(spark, symbols):
     assert {r.idx: r.called_by for r in G.called_by(symbols).collect()} == {1: ["mod_b::baz"], 2: ["mod_a::Foo::bar", "mod_b::tests::baz"], 5: ["mod_a::Foo::bar"]}
 
 
+def test_places_of_many_nodes_make_no_pairs(spark):
+    """Many nodes and calls at one place: each call meets the smallest node alone."""
+    nodes = spark.range(100, 4100).select(F.col("id").alias("idx"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.lit("a.rs").alias("file"), F.lit(1).alias("start_line"))
+    raw = nodes.select((F.col("idx") + 9000).alias("src"), F.lit("none").alias("callee"), "file", F.lit(2).alias("callee_start_line"), F.lit(5).alias("line")).withColumnRenamed("file", "callee_file")
+    found = G.edges_by_place(nodes, raw)
+    assert found.agg(F.count("*"), F.min("dst"), F.max("dst")).first() == (4000, 100, 100)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [file" in plan and "min(idx" in plan
+
+
 def test_names(spark):
     df = spark.createDataFrame([("pub(crate) a::b::{closure#0}::{closure#1}",), ("export x",)], "n string")
     assert [r.x for r in df.select(G.plain_name(F.col("n")).alias("x")).collect()] == ["a::b", "x"]
