@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions import text as T
@@ -31,10 +33,24 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / n)
 
 
+def hash_vectors(tokens: pa.Array, dim: int) -> pa.Array:
+    """The unit vectors of lists of tokens; each word of them is hashed once."""
+    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False)
+    words = tokens.flatten().dictionary_encode()
+    h = T.content_keys(words.dictionary)
+    place, sign = h % dim, np.where((h >> 32) % 2 == 0, 1.0, -1.0)
+    code, row = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+    v = np.bincount(row * dim + place[code], sign[code], len(sizes) * dim).reshape(-1, dim)
+    v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), FLOOR)
+    return pa.ListArray.from_arrays(np.arange(0, v.size + 1, dim, dtype=np.int32), pa.array(v.ravel()))
+
+
 def hashed(text: Column, dim: int = 64, tokenizer: str = "simple") -> Column:
     """A deterministic unit vector: each token adds a sign to one of `dim` places."""
-    tokens = T.TOKENIZERS[tokenizer](F.coalesce(text, F.lit("")))
-    h = F.transform(tokens, lambda t: T.content_key(t))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    places = F.transform(h, lambda x: F.struct(F.pmod(x, F.lit(dim)).cast("int").alias("p"), F.when(F.shiftright(x, 32) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    return unit(F.aggregate(places, zero, lambda acc, q: F.transform(acc, lambda v, i: F.when(i == q.p, v + q.s).otherwise(v))))
+
+    @F.arrow_udf("array<double>")
+    def vectors(tokens: pa.Array) -> pa.Array:
+        return hash_vectors(tokens, dim)
+
+    # said not to be deterministic, so that no filter above it makes it again
+    return vectors.asNondeterministic()(T.TOKENIZERS[tokenizer](F.coalesce(text, F.lit(""))))

@@ -1,8 +1,11 @@
 """Vectors, tokenizers, filters, Hangul letters, formatting, BM25 and fusion by closed forms."""
 
+import hashlib
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -201,3 +204,24 @@ def test_back_fill_and_relative(spark):
 
 def test_errors_are_values_too():
     assert issubclass(InvalidArgument, ValueError)
+
+
+def test_hashed_vectors_hash_each_word_once(spark, monkeypatch):
+    """Word keys are those of SQL, made once a word of a batch; vectors are signs added up by hand."""
+    words = ["a", "größe", "나무", "x" * 300]
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    assert T.content_keys(pa.array(words)).tolist() == [r.k for r in frame.select(T.content_key(F.col("w")).alias("k")).collect()]
+    seen = []
+    monkeypatch.setattr(T, "content_keys", lambda x, keys=T.content_keys: (seen.append(len(x)), keys(x))[1])
+    texts = ["a b a", None, "", "Größe, 나무! " * 3000]
+    tokens = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    got = embed.hash_vectors(pa.array(tokens, pa.list_(pa.string())), 16).to_pylist()
+    assert seen == [4]
+    asked = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert np.allclose([r.v for r in asked.select("i", embed.hashed(F.col("t"), 16).alias("v")).orderBy("i").collect()], got)
+    for some, v in zip(tokens, got, strict=True):
+        want = np.zeros(16)
+        for w in some:
+            h = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
+            want[h % 16] += 1 if (h >> 32) % 2 == 0 else -1
+        assert np.allclose(v, want / max(np.sqrt(want @ want), 1e-12))
