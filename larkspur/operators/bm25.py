@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.checkpoints import settled
@@ -55,8 +56,7 @@ class Index:
         """The index in a table of postings, in which each document also has a row without a term."""
         postings = table.where("term IS NOT NULL")
         docs = table.where("term IS NULL").select("doc_id", "dl", F.col("tf").alias("rows"))
-        stats = docs.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.sum(F.col("rows") * F.col("dl")).alias("total")).withColumn("avg", F.try_divide("total", "n"))
-        return cls(postings, postings.groupBy("term").agg(F.count("*").alias("df")) if df is None else df, docs, stats)
+        return cls(postings, postings.groupBy("term").agg(F.count("*").alias("df")) if df is None else df, docs, statistics(docs))
 
 
 def terms_of(text: Column, tokenizer: str = "simple", bigrams: bool = False) -> Column:
@@ -64,20 +64,60 @@ def terms_of(text: Column, tokenizer: str = "simple", bigrams: bool = False) ->
     return F.concat(tokens, T.bigrams(tokens)) if bigrams else tokens
 
 
+def lengths(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "simple") -> DataFrame:
+    """docs(doc_id, dl, rows) of an index, without its postings."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return spread(documents.select(key, text)).select(F.col(key).alias("doc_id"), F.size(T.TOKENIZERS[tokenizer](t)).alias("dl")).groupBy("doc_id", "dl").agg(F.count("*").alias("rows"))
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """One row of docs(doc_id, dl, rows): n, total, avg."""
+    return docs.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.sum(F.col("rows") * F.col("dl")).alias("total")).withColumn("avg", F.try_divide("total", "n"))
+
+
 def build(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "simple", bigrams: bool = False) -> Index:
     """An index of all documents, as a table in the shared folder.
 
     Null texts are documents without terms; rows that share an id and a length count apart in the
-    statistics, and together as one document. Lengths count unigrams.
+    statistics, and together as one document. Lengths count unigrams. Terms are counted where their text lies, and
+    shuffled only if ids are repeated.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = spread(documents.select(key, text)).select(F.col(key).alias("doc_id"), T.TOKENIZERS[tokenizer](t).alias("tokens"))
-    every = F.concat("tokens", T.bigrams(F.col("tokens"))) if bigrams else F.col("tokens")
-    flat = base.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), every)).alias("term"))
-    table = settled(flat.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
+    kind = documents.schema[key].dataType.simpleString()
+    flat = base.mapInArrow(lambda batches: _counted(batches, bigrams), f"doc_id {kind}, term string, dl int, tf long")
+    if not documents.groupBy(key).count().where("count > 1").isEmpty():
+        flat = flat.groupBy("doc_id", "term", "dl").agg(F.sum("tf").alias("tf"))
+    table = settled(flat, "postings")
     return Index.of(table, settled(Index.of(table).df, "document-frequencies"))
 
 
+#: Tokens that are counted together.
+TOKENS = 500_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bigrams: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, term, dl, tf) of the rows of (doc_id, tokens), and one of each row without a term."""
+    for batch in batches:
+        part = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)) // TOKENS
+        starts = np.unique(part, return_index=True)[1].tolist()
+        for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+            some = batch.slice(start, end - start)
+            dl = some.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            row, flat = np.repeat(np.arange(len(dl)), dl), some.column(1).flatten()
+            if bigrams and len(flat) > 1:
+                inner = row[:-1] == row[1:]
+                two = pc.binary_join_element_wise(flat.slice(0, len(flat) - 1), flat.slice(1), "\x01").filter(pa.array(inner))
+                row, flat = np.concatenate([row, row[:-1][inner]]), pa.concat_arrays([flat, two])
+            words = flat.dictionary_encode()
+            n = max(1, len(words.dictionary))
+            found, tf = np.unique(row * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = np.concatenate([np.arange(len(dl)), found // n])
+            term = pa.concat_arrays([pa.nulls(len(dl), pa.string()), words.dictionary.take(pa.array(found % n))])
+            tf = np.concatenate([np.ones(len(dl), np.int64), tf])
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), term, pa.array(dl[row].astype(np.int32)), pa.array(tf)], ["doc_id", "term", "dl", "tf"])
+
+
 def save(index: Index, path: str) -> None:
     """Write the index: postings sorted by term, frequent terms split by document, so that scans skip by term."""
     marks = index.docs.select("doc_id", F.lit(None).cast("string").alias("term"), "dl", F.col("rows").alias("tf"))

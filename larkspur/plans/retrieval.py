@@ -181,13 +181,13 @@ def term_df(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, sum(dl)::BIGINT AS total, round(avg(dl), 6) AS avg FROM (SELECT len({_SIMPLE}) AS dl FROM documents)")
 def corpus_stats(spark, sf_dir):
-    return _index(spark, sf_dir).stats.select("n", "total", F.round("avg", 6).alias("avg"))
+    return bm25.statistics(bm25.lengths(table(spark, sf_dir, "documents"))).select("n", "total", F.round("avg", 6).alias("avg"))
 
 
 @query(f"""SELECT code, count(*) AS docs, round(CASE WHEN code = 0 THEN 1.0 ELSE pow(2.0, code / 8.0) END, 6) AS decoded
 FROM (SELECT CASE WHEN dl = 0 THEN 0 ELSE least(greatest(floor(8 * log2(dl::DOUBLE) + 0.5), 0), 255) END::INT AS code FROM (SELECT len({_SIMPLE}) AS dl FROM documents)) GROUP BY code""")
 def fieldnorms(spark, sf_dir):
-    docs = _index(spark, sf_dir).docs
+    docs = bm25.lengths(table(spark, sf_dir, "documents"))
     return docs.groupBy(bm25.fieldnorm_code(F.col("dl")).alias("code")).agg(F.sum("rows").alias("docs")).select("code", "docs", F.round(bm25.fieldnorm_length(F.col("code")), 6).alias("decoded"))
 
 

@@ -171,6 +171,21 @@ def test_best_is_the_head_of_all_scores(spark, tmp_path, monkeypatch):
     assert bm25.best(index, terms.limit(0), 5).count() == 0 and bm25.best(bm25.build(docs.limit(0)), terms, 5).count() == 0
 
 
+def test_index_counts_terms_where_they_lie(spark, monkeypatch):
+    """Counts by hand over slices of a batch; the table of postings is written without an exchange unless ids are repeated."""
+    monkeypatch.setattr(bm25, "TOKENS", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array([["a", "b", "a", "b"], [], ["c"], ["b", "b", "b"]], pa.list_(pa.string()))], ["doc_id", "tokens"])
+    got = sorted((str(r["term"]), r["doc_id"], r["dl"], r["tf"]) for b in bm25._counted(iter([batch]), True) for r in b.to_pylist())
+    assert got == [("None", 5, 4, 1), ("None", 6, 0, 1), ("None", 7, 1, 1), ("None", 8, 3, 1), ("a", 5, 4, 2), ("a\x01b", 5, 4, 2), ("b", 5, 4, 2), ("b", 8, 3, 3), ("b\x01a", 5, 4, 1), ("b\x01b", 8, 3, 2), ("c", 7, 1, 1)]
+    plans = []
+    monkeypatch.setattr(bm25, "settled", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), df)[1])
+    docs = spark.createDataFrame(CORPUS, "doc_id long, text string")
+    bm25.build(docs)
+    bm25.build(docs.unionByName(docs))
+    assert ["Aggregate" in p for name, p in plans if name == "postings"] == [False, True]
+    assert tuple(bm25.statistics(bm25.lengths(docs)).first()) == (4, 21, 5.25)
+
+
 def test_bigrams_boost(spark):
     docs = spark.createDataFrame([(1, "red green blue"), (2, "green x red y blue")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "red green")], "qid long, qtext string")
