@@ -240,3 +240,25 @@ def test_hashed_vectors_hash_each_word_once(spark, monkeypatch):
             h = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
             want[h % 16] += 1 if (h >> 32) % 2 == 0 else -1
         assert np.allclose(v, want / max(np.sqrt(want @ want), 1e-12))
+
+
+class Handed:
+    """A frame whose mapInArrow runs the function here, over one batch, and keeps the rows of each batch that it gives."""
+
+    def __init__(self, spark, rows, schema):
+        self.schema, self.batch = spark.createDataFrame(rows, schema).schema, pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], ["id", "text"])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return [b.to_pylist() for b in run(iter([self.batch]))]
+
+
+def test_tokens_are_handed_on_in_parts(spark, monkeypatch):
+    """A batch of texts gives its tokens in parts, all of them, whatever the size of the batch."""
+    frame = Handed(spark, [(i, "word " * 40) for i in range(30)] + [(30, None)], "id long, text string")
+    whole = sum(T.offset_tokens(frame, "id", "text"), [])
+    monkeypatch.setattr(T, "ROWS", 50)
+    tokens = T.offset_tokens(frame, "id", "text")
+    assert max(map(len, tokens)) <= 50 and sum(tokens, []) == whole and len(whole) == 40 * 30
