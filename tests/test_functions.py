@@ -262,3 +262,14 @@ def test_tokens_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(T, "ROWS", 50)
     tokens = T.offset_tokens(frame, "id", "text")
     assert max(map(len, tokens)) <= 50 and sum(tokens, []) == whole and len(whole) == 40 * 30
+
+
+def test_letters_of_all_syllables_at_once(spark):
+    """Every syllable by its number, letters alone, and characters beyond the plane or of code 0, without a lambda a character."""
+    every = "".join(map(chr, range(0xAC00, 0xD7A4))) + "ㅎᄀa\x00\U0001f600"
+    df = spark.createDataFrame([(every,), ("",), (None,)], "t string").select(T.decompose(F.col("t")).alias("d"), T.choseong(F.col("t")).alias("c"))
+    got = [tuple(r) for r in df.collect()]
+    split = [(n // 588, n % 588 // 28, n % 28) for n in range(11172)]
+    letters = "".join(T.CHOSEONG[a] + T.JUNGSEONG[b] + (T.JONGSEONG[c - 1] if c else "") for a, b, c in split)
+    assert got == [(letters + every[11172:], "".join(T.CHOSEONG[a] for a, _, _ in split) + "ㅎᄀ"), ("", ""), (None, None)]
+    assert "lambdafunction" not in df._jdf.queryExecution().analyzed().toString()
